@@ -8,6 +8,7 @@ them or a round stopped helping. A bin keeps the id of its first item, so a roun
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -20,28 +21,44 @@ from pyspark.sql import functions as F
 from graphcq.llm.common import durable, parts_for, pick
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words whose ids a worker remembers at most.
+#: Words whose ids a worker remembers: so many recent ones, and as many before them.
 REMEMBERED = 400_000
+#: Signs that often follow a word; the tokenizer makes a token of its own of them, without joining them to letters.
+TRAILING = ".,;:!?|%*&$#"
 
 
 class _Ids(dict):
-    """Word -> its ids as little-endian unsigned 32-bit integers."""
+    """Word -> its ids as little-endian unsigned 32-bit integers. Two generations: a full one becomes the older."""
 
     def __init__(self, tokenizer) -> None:
         super().__init__()
-        self.tokenizer = tokenizer
+        self.tokenizer, self.older = tokenizer, {}
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids
+        out = self.older.get(word)
+        if out is None:
+            core = word.rstrip(TRAILING)
+            out = self[core] + self[word[len(core) :]] if len(core) < len(word) and core.isalpha() else self.encode(word)
         if len(self) >= REMEMBERED:
+            self.older = dict(self)
             self.clear()
-        self[word] = out = np.asarray(ids, dtype="<u4").tobytes()
+        self[word] = out
         return out
 
+    def encode(self, text: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+
 
 def text_ids(text: str, ids: _Ids) -> bytes:
-    """Ids of a whole text. The tokenizer drops white space and joins nothing across it, so words can go one by one."""
-    return b"".join(map(ids.__getitem__, text.replace("\n", " ").replace("\t", " ").split(" ")))
+    """Ids of a whole text. The tokenizer drops white space and joins nothing across it, so words can go one by one.
+
+    It normalizes and lower-cases letter by letter, so that is done for the whole text first, where doing it again to a
+    word changes nothing; other texts, and those that may hold special tokens, go to the tokenizer as they are.
+    """
+    low = text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+    if "<|" in text or not unicodedata.is_normalized("NFC", low):
+        return ids.encode(text)
+    return b"".join(map(ids.__getitem__, low.replace("\n", " ").replace("\t", " ").split(" ")))
 
 
 def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) -> DataFrame:
