@@ -34,5 +34,24 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_topk, op4_ring_sharding, op5_best_fit_packing)}
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphcq.llm.langid import language_id
+
+    return language_id(table(spark, sf_dir, "documents"))
+
+
+def op8_simhash_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphcq.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphcq.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+_QUERIES = (op3_exact_topk, op4_ring_sharding, op5_best_fit_packing, op6_language_id, op8_simhash_segments, op10_toxicity_grammar)
+QUERIES = {f.__name__: f for f in _QUERIES}
 SQL: dict[str, str] = {}
