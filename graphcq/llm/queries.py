@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphcq.llm import decontaminate, linededup
 from graphcq.llm.common import table
 
 
@@ -52,6 +53,27 @@ def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-_QUERIES = (op3_exact_topk, op4_ring_sharding, op5_best_fit_packing, op6_language_id, op8_simhash_segments, op10_toxicity_grammar)
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphcq.llm.linededup import dedup_lines
+
+    cleaned = dedup_lines(table(spark, sf_dir, "documents"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.md5("text").alias("text_md5"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphcq.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphcq.llm.pii import digest, find
+
+    return digest(find(table(spark, sf_dir, "documents")))
+
+
+_QUERIES = (
+    op2_line_dedup, op3_exact_topk, op4_ring_sharding, op5_best_fit_packing, op6_language_id, op7_decontamination,
+    op8_simhash_segments, op9_pii_disclosure, op10_toxicity_grammar)
 QUERIES = {f.__name__: f for f in _QUERIES}
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_line_dedup": linededup.SQL, "op7_decontamination": decontaminate.SQL}
