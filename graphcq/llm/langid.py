@@ -122,8 +122,9 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
     score 0 and an empty set. Whole texts count, in one pass of bounded memory per batch; repeated rows each give a row.
     """
     shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.log_p))  # BUCKETS x languages at most
-    rows = docs.select(*[docs[c] for c in keep], docs[text_col].alias("_text"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", lang_pred string, score double, languages array<string>, shares array<double>"
+    text_at, n_keep = keep.index(text_col) if text_col in keep else len(keep), len(keep)
+    rows = docs.select(*[docs[c] for c in dict.fromkeys([*keep, text_col])])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:n_keep]) + ", lang_pred string, score double, languages array<string>, shares array<double>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, log_p = shared.value
@@ -162,7 +163,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
                     sets[i], shares[i] = [langs[k] for k in top], [float(p[k]) for k in top]
                 pending.clear()
 
-            texts = batch.column(n_keep)
+            texts = batch.column(text_at)
             for i in range(n if langs else 0):
                 words = words_of(texts[i].as_py())
                 if words:
@@ -175,9 +176,8 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
                         size = 0
             settle()
             out = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out], names=[*batch.schema.names[:-1], "lang_pred", "score", "languages", "shares"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *out], names=[*batch.schema.names[:n_keep], "lang_pred", "score", "languages", "shares"])
 
-    n_keep = len(keep)
     return rows.mapInArrow(run, schema)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphcq.llm import decontaminate, linededup
+from graphcq.llm import decontaminate, linededup, scoring
 from graphcq.llm.common import table
 
 
@@ -53,6 +53,13 @@ def op10_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op1_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from graphcq.llm.scoring import backoff_scores
+
+    scores = backoff_scores(table(spark, sf_dir, "documents"))
+    return scores.withColumn("log_score", F.round("log_score", 4))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphcq.llm.linededup import dedup_lines
 
@@ -73,7 +80,7 @@ def op9_pii_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES = (
-    op2_line_dedup, op3_exact_topk, op4_ring_sharding, op5_best_fit_packing, op6_language_id, op7_decontamination,
-    op8_simhash_segments, op9_pii_disclosure, op10_toxicity_grammar)
+    op1_backoff_scores, op2_line_dedup, op3_exact_topk, op4_ring_sharding, op5_best_fit_packing, op6_language_id,
+    op7_decontamination, op8_simhash_segments, op9_pii_disclosure, op10_toxicity_grammar)
 QUERIES = {f.__name__: f for f in _QUERIES}
-SQL: dict[str, str] = {"op2_line_dedup": linededup.SQL, "op7_decontamination": decontaminate.SQL}
+SQL: dict[str, str] = {"op1_backoff_scores": scoring.SQL, "op2_line_dedup": linededup.SQL, "op7_decontamination": decontaminate.SQL}

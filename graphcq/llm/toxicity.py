@@ -232,7 +232,7 @@ def score(docs: DataFrame, grammar: Grammar, keep: tuple[str, ...] = ("doc_id",)
     """
     shared = docs.sparkSession.sparkContext.broadcast(grammar)  # STEMS stems at most
     rows = docs.select(*[docs[c] for c in keep], docs[text_col].alias("_text"))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", score double, predicted int, clauses int"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", score double, predicted int, clauses int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
