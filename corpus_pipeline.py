@@ -1,15 +1,82 @@
-"""The corpus pipeline: STAGES in order, each from the documents that the one before kept."""
+"""The corpus pipeline: STAGES in order, each over all that the one before kept.
+
+Every stage is a function (spark, docs, sf_dir) -> DataFrame. All but the last return the columns of their documents.
+Rows of a null doc_id pass the near-duplicate and decontamination stages, as their decisions are carried by id.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphcq.llm import decontaminate, langid, linededup, packing, simhash
+from graphcq.llm.common import durable, is_small, table
+from graphcq.llm.queries import tokenizer_path
+
+#: A document whose largest language has a smaller share than this has no language; ids that may be broadcast at most.
+MIN_SHARE, BROADCAST_IDS = 0.4, 200_000
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """docs but those whose doc_id is among `ids`."""
+    ids = durable(ids.where("doc_id is not null").distinct())
+    return docs.join(F.broadcast(ids) if is_small(ids, BROADCAST_IDS) else ids, "doc_id", "left_anti").select(docs.columns)
+
+
+def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Reject documents without letters and those in which no language has a share of MIN_SHARE."""
+    rest = langid.remainder("doc_id", 4)
+    model = langid.fit(docs, "doc_id", "text", "lang", (rest != 2) & (rest >= 0))
+    found = langid.identify(docs.select([docs[c].alias(f"doc_{c}") for c in docs.columns]), model, "doc_text", tuple(f"doc_{c}" for c in docs.columns))
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SHARE))
+    return kept.select([F.col(f"doc_{c}").alias(c) for c in docs.columns])
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take cross-site boilerplate lines out of the texts; n_chars follows."""
+    cleaned = linededup.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return cleaned.select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document of the smallest id of each group; of rows that repeat an id, one."""
+    groups = durable(simhash.near_duplicates(docs).where("doc_id is not null"))
+    kept = _without(docs, groups.where("doc_id <> component_id").select("doc_id"))
+    repeated = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if repeated.isEmpty():
+        return kept
+    again = kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return _without(kept, repeated).unionByName(again)
+
+
+def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that contain a benchmark item."""
+    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pack the documents' tokens into sequences."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+
 
-STAGES: list = []
+STAGES = [
+    ("language ID", identify_languages),
+    ("line dedup", dedup_lines),
+    ("near-duplicates", drop_near_duplicates),
+    ("decontamination", decontaminate_documents),
+    ("packing", pack_sequences),
+]
+#: The classifier, the fingerprints and the tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over the documents table; what a stage kept is checkpointed, as the next one reads it several times."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = durable(docs)
     return docs
