@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphcq.llm.common import pick
+from graphcq.llm.common import durable, pick
 from graphcq.llm.sample import by_hash, remainder
 
 # Fixed closed-class words of the grammar, in English, German, French and Spanish.
@@ -147,7 +147,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, least_docs: int
     marks = labels.select(labels["doc_id"].alias("_id"), labels["toxic"].cast("int").alias("_toxic")).where("_id is not null and _toxic in (0, 1)")
     marks = marks.where(remainder("_id", 5) > 0).groupBy("_id").agg(F.max("_toxic").alias("_toxic")).withColumn("_all", F.lit(0))
     marks = by_hash(marks, "_id", "_all", rows, 1).select("_id", "_toxic")
-    sample = docs.select(docs["doc_id"].alias("_id"), docs["text"].alias("_text")).where("_text is not null").join(marks, "_id")
+    # The marks are `rows` at most: broadcast, so that of the texts only the sample's move, and are kept for both passes.
+    sample = durable(docs.select(docs["doc_id"].alias("_id"), docs["text"].alias("_text")).where("_text is not null").join(F.broadcast(marks), "_id"))
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[tuple[str, int]] = set()
