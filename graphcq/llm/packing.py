@@ -27,18 +27,40 @@ REMEMBERED = 400_000
 TRAILING = ".,;:!?|%*&$#"
 
 
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet, for Latin letters: printable bytes are themselves, the others follow from 256 on."""
+    printable = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    byte = {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+    return {c: "".join(byte[b] for b in chr(c).encode()) for c in range(0x80, LATIN)}
+
+
+#: Letters below this code point are letters for the tokenizer too, whatever its version of Unicode.
+LATIN = 0x180
+
+
 class _Ids(dict):
-    """Word -> its ids as little-endian unsigned 32-bit integers. Two generations: a full one becomes the older."""
+    """Word -> its ids as little-endian unsigned 32-bit integers. Two generations: a full one becomes the older.
+
+    A word of Latin letters is a single token before the merges, so it goes to the merges at once.
+    """
 
     def __init__(self, tokenizer) -> None:
         super().__init__()
-        self.tokenizer, self.older = tokenizer, {}
+        self.tokenizer, self.merges, self.older = tokenizer, tokenizer.model, {}
+        self.letters = _byte_letters()
 
     def __missing__(self, word: str) -> bytes:
         out = self.older.get(word)
         if out is None:
             core = word.rstrip(TRAILING)
-            out = self[core] + self[word[len(core) :]] if len(core) < len(word) and core.isalpha() else self.encode(word)
+            if core.isalpha() and max(core) < chr(LATIN):
+                mapped = core if core.isascii() else core.translate(self.letters)
+                out = np.array([x.id for x in self.merges.tokenize(mapped)], dtype="<u4").tobytes()
+                if len(core) < len(word):
+                    out += self[word[len(core) :]]
+            else:
+                out = self.encode(word)
         if len(self) >= REMEMBERED:
             self.older = dict(self)
             self.clear()
