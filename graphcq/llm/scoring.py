@@ -1,14 +1,13 @@
 """Stupid-backoff scores of documents under the n-gram counts of the corpus itself, computed relationally.
 
-Two passes over the texts. The first counts words: partial counts per batch of documents, merged by hash of the word.
-The second explodes every document into bigrams and deals them by hash of the second word, so that a task has all
-occurrences of its bigrams and of their second words: the count table and its join to the exploded bigrams are one
-grouping. What is still missing, the counts of the first words of seen bigrams, is asked from the word counts, dealt by
-hash too. Then the logarithms are summed per document.
-
-Rows move packed: for each batch of documents and bucket of hashes, arrays of numbers, compressed. The heavy words, those
-with 1 / HEAVY of all tokens or more, are HEAVY at most; their counts are broadcast, and bigrams that end in one are
-dealt by both words, so no word, however frequent, gathers in a task.
+Documents are tokenized once, into packed batches of some BATCH_TOKENS tokens, which are kept in the shared folder. Each
+batch is exploded into its distinct n-grams, with how often it has them, and these are dealt by ranges of their hash: a
+task of that join has all n-grams of its range from all batches, so it holds that part of the count table, and answers
+each batch with the counts of its n-grams, in their order. The batches meet their answers, and the logarithms are summed
+per document.
+
+An n-gram reaches a task once per batch, however frequent it is, so no frequent word or pair gathers anywhere. Hashes
+move sorted, as differences in byte planes, compressed: some six bytes an n-gram.
 """
 
 from __future__ import annotations
@@ -25,17 +24,16 @@ from pyspark.sql import functions as F
 
 from graphcq.llm.common import durable, parts_for, pick
 
-HEAVY = 10_000
-#: Tokens of a packed batch and of a task, about; words whose hashes a worker remembers at most.
-BATCH_TOKENS, TASK_TOKENS, REMEMBERED = 3_000_000, 4_000_000, 500_000
-PACKED = "bucket int, data binary"
+#: Tokens of a batch and of a range of hashes, about; words whose hashes a worker remembers at most.
+BATCH_TOKENS, RANGE_TOKENS, REMEMBERED = 1_500_000, 2_000_000, 400_000
+SCORES = "doc_id long, n_tokens long, n_backoff long, log_score double"
 
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
         if len(self) >= REMEMBERED:
             self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word) or 1  # 0 is the start of a document
+        self[word] = h = xxhash.xxh64_intdigest(word)
         return h
 
 
@@ -46,235 +44,160 @@ def word_hashes(text: str | None, hashes: _Hashes) -> np.ndarray:
 
 
 def _mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A hash of pairs."""
+    """A hash of pairs, spread over all 64 bits."""
     x = (a * np.uint64(0x9E3779B97F4A7C15)) ^ ((b << np.uint64(31)) | (b >> np.uint64(33)))
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(32))
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(29))
 
 
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+def _pack(*parts) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(parts, protocol=5))
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(arrays, protocol=5))
-
-
-def _unpack(data: bytes) -> tuple[np.ndarray, ...]:
+def _unpack(data: bytes) -> tuple:
     return pickle.loads(zstandard.ZstdDecompressor().decompress(data))
 
 
-def _packed(rows: Iterable[tuple[int, bytes]]) -> pa.RecordBatch:
-    rows = list(rows)
-    return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], names=["bucket", "data"])
+def _planes(ascending: np.ndarray) -> np.ndarray:
+    return np.diff(ascending, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.copy()
 
 
-def _batches(batches: Iterator[pa.RecordBatch], hashes: _Hashes) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """(row keys, hashes of each row's words), a bounded number of tokens at a time, but for a single long row."""
-    keys: list[int] = []
-    found: list[np.ndarray] = []
-    size = 0
-    for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own = word_hashes(text.as_py(), hashes)
-            if len(own):
-                keys.append(key)
-                found.append(own)
-                size += len(own)
-            if size >= BATCH_TOKENS:
-                yield np.array(keys, np.int64), found
-                keys, found, size = [], [], 0
-    if keys:
-        yield np.array(keys, np.int64), found
-
-
-def _runs(order_by: np.ndarray) -> list[tuple[int, int]]:
-    cuts = np.flatnonzero(np.diff(order_by)) + 1
-    return list(zip([0, *cuts.tolist()], [*cuts.tolist(), len(order_by)], strict=True)) if len(order_by) else []
-
-
-def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]]]:
-    """The packed rows of a task, bucket by bucket."""
-    rows: dict[int, list[bytes]] = {}
-    for batch in batches:
-        for b, d in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            rows.setdefault(b, []).append(d)
-    while rows:
-        yield rows.popitem()
+def _ascending(planes: np.ndarray) -> np.ndarray:
+    return np.cumsum(planes.T.copy().view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def _summed(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, ...]:
-    values, at = np.unique(keys, return_inverse=True)
-    return (values, *[np.bincount(at, w, len(values)) for w in weights])
-
+def _narrow(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
 
-def word_counts(docs: DataFrame, buckets: int) -> DataFrame:
-    """Packed (words, counts), one row per bucket of word hashes. docs: (key, text)."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, found in _batches(batches, _Hashes()):
-            words, n = np.unique(np.concatenate(found), return_counts=True)
-            at = _bucket(words, buckets)
-            order = np.argsort(at, kind="stable")
-            words, n, at = words[order], n[order].astype(np.uint32), at[order]
-            yield _packed((int(at[i]), _pack(words[i:j], n[i:j])) for i, j in _runs(at))
+def _batch(ids: list[int | None], found: list[np.ndarray]) -> tuple[int, bytes]:
+    """(tokens, packed batch): ids, which of them are null, words per document, the words, and each token's place there."""
+    words, at = np.unique(np.concatenate(found), return_inverse=True)
+    null = np.array([i is None for i in ids])
+    lens = np.array([len(x) for x in found], np.int64)
+    return len(at), _pack(np.array([i or 0 for i in ids], np.int64), null, lens, _planes(words), _narrow(at))
 
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, datas in _by_bucket(batches):
-            parts = [_unpack(d) for d in datas]
-            words, n = _summed(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]))
-            yield _packed([(b, _pack(words, n.astype(np.int64)))])
 
-    return docs.mapInArrow(count, PACKED).repartition(parts_for(buckets, 4), "bucket").mapInArrow(merge, PACKED)
+def tokenized(docs: DataFrame) -> DataFrame:
+    """(tokens long, data binary) of docs (doc_id, text): a row per batch."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, ids, found, size = _Hashes(), [], [], 0
 
-def _heaviest(counts: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
-    """All tokens, and the words with 1 / HEAVY of them or more, with their counts."""
+        def out() -> pa.RecordBatch:
+            n, data = _batch(ids, found)
+            return pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([data], pa.binary())], names=["tokens", "data"])
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = sum(int(_unpack(d.as_py())[1].sum()) for b in batches for d in b.column(0))
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids.append(doc_id)
+                found.append(word_hashes(text.as_py(), hashes))
+                size += len(found[-1])
+                if size >= BATCH_TOKENS:
+                    yield out()
+                    ids, found, size = [], [], 0
+        if ids:
+            yield out()
 
-    n = counts.select("data").mapInArrow(total, "n long").agg(F.sum("n")).first()[0] or 0
+    return docs.mapInArrow(run, "tokens long, data binary")
 
-    def heavy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for d in b.column(0):
-                words, c = _unpack(d.as_py())
-                top = c * HEAVY >= n
-                yield pa.RecordBatch.from_arrays([pa.array(words[top].view(np.int64)), pa.array(c[top])], names=["word", "n"])
 
-    found = counts.select("data").mapInArrow(heavy, "word long, n long").toPandas()  # HEAVY rows at most
-    words = found["word"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(words)
-    return n, words[order], found["n"].to_numpy(np.int64)[order]
+def _grams(lens: np.ndarray, words: np.ndarray, at: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For n = 1 to `order`: the hash of the n-gram that ends at each token, and which tokens have one."""
+    own = words[at]
+    place = np.arange(len(at)) - np.repeat(np.cumsum(lens) - lens, lens)
+    out = [(own, np.ones(len(at), bool))]
+    for n in range(2, order + 1):
+        h = np.empty_like(own)
+        h[1:] = _mix(out[-1][0][:-1], own[1:])
+        out.append((h, place >= n - 1))
+    return out
 
 
-def _index(words: np.ndarray, sorted_words: np.ndarray) -> np.ndarray:
-    """Where each word stands in a sorted array, or -1."""
-    if not len(sorted_words):
-        return np.full(len(words), -1)
-    at = np.minimum(np.searchsorted(sorted_words, words), len(sorted_words) - 1)
-    return np.where(sorted_words[at] == words, at, -1)
+def _by_key(batches: Iterator[pa.RecordBatch], key: int) -> Iterator[tuple[int, list[tuple[int, bytes]]]]:
+    """A task's rows (id, range, data), together by one of the first two columns."""
+    rows: dict[int, list[tuple[int, bytes]]] = {}
+    for batch in batches:
+        for k, other, data in zip(*(batch.column(c).to_pylist() for c in (key, 1 - key, 2)), strict=True):
+            rows.setdefault(k, []).append((other, data))
+    while rows:
+        yield rows.popitem()
 
 
-def _sums_batch(keys: list[np.ndarray], score: list[np.ndarray], backed: list[np.ndarray]) -> pa.RecordBatch:
-    k, s, b = _summed(np.concatenate(keys), np.concatenate(score), np.concatenate(backed)) if keys else (np.empty(0, np.int64), np.empty(0), np.empty(0))
-    return pa.RecordBatch.from_arrays([pa.array(k), pa.array(s), pa.array(b.astype(np.int64))], names=["key", "score", "backed"])
+def _rows(rows: Iterable[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    rows = list(rows)
+    cols = list(zip(*rows, strict=True)) or [()] * 3
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["id", "range", "data"])
 
 
-SUMS = "key long, score double, backed long"
+ROWS = "id long, range int, data binary"
 
 
-def backoff_scores(docs: DataFrame, alpha: float = 0.4, min_count: int = 2) -> DataFrame:
+def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, min_count: int = 2) -> DataFrame:
     """(doc_id, n_tokens long, n_backoff long, log_score double) for every row of docs (doc_id, text).
 
-    A token scores c(v w) / c(v) after v if the bigram v w occurs `min_count` times or more in all documents, else
-    alpha c(w) / N; the first one of a document c(w) / N. log_score is the sum of the natural logarithms, n_backoff
-    counts the tokens that backed off. Null, empty and blank texts have no token and score 0. Every row counts in the
-    corpus, repeated ones too, and each gives a row; null ids are kept; no documents give no rows; other columns are
-    ignored. A task holds the occurrences of some TASK_TOKENS tokens, packed.
+    A token scores c(context, w) / c(context) by the longest n-gram of at most `order` words of its document that ends in
+    it and occurs `min_count` times or more in all documents, times alpha for each longer one that does not; a single
+    word scores c(w) / N whatever its count. log_score sums the natural logarithms, n_backoff counts the n-grams that
+    were too rare. Null, empty and blank texts have no token and score 0. Every row counts in the corpus, repeated ones
+    too, and gives a row; null ids are kept; no documents give no rows; other columns are ignored. A task holds a batch,
+    or the n-grams of a range of hashes.
     """
-    own = pick(docs, ["doc_id", "text"])
-    keyed = own.select(F.xxhash64("doc_id", "text").alias("key"), "text")
-    size = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = parts_for(size // 6, TASK_TOKENS, 8)  # some six bytes a token
-    buckets = 4 * parts
-    counts = durable(word_counts(keyed, buckets))
-    n, heavy, heavy_n = _heaviest(counts)
-    shared = docs.sparkSession.sparkContext.broadcast((heavy, np.log(np.maximum(heavy_n, 1))))
+    corpus = durable(tokenized(pick(docs, ["doc_id", "text"])))
+    n, batches = corpus.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.count("*")).first()
+    ranges = parts_for(n * order, RANGE_TOKENS, 12)
+    corpus = corpus.select(F.monotonically_increasing_id().alias("id"), F.lit(-1).alias("range"), "data")  # stable: the rows are fixed by now
     log_n, log_alpha = float(np.log(max(n, 1))), float(np.log(alpha))
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tops, _ = shared.value
-        for keys, found in _batches(batches, _Hashes()):
-            w2 = np.concatenate(found)
-            lens = np.array([len(x) for x in found])
-            w1 = np.empty_like(w2)
-            w1[1:] = w2[:-1]
-            w1[np.cumsum(lens) - lens] = 0
-            doc = np.repeat(np.arange(len(found), dtype=np.int32), lens)
-            at = _bucket(np.where(_index(w2, tops) >= 0, _mix(w1, w2), w2), buckets)
-            order = np.lexsort((w2, at))
-            w1, w2, doc, at = w1[order], w2[order], doc[order], at[order]
-            out = []
-            for i, j in _runs(at):
-                # Distinct documents and words once, then an index of the smallest type; second words in order.
-                rows, row_at = np.unique(doc[i:j], return_inverse=True)
-                first, first_at = np.unique(w1[i:j], return_inverse=True)
-                second, second_n = np.unique(w2[i:j], return_counts=True)
-                out.append((int(at[i]), _pack(keys[rows], _narrow(row_at), first, _narrow(first_at), second, _narrow(second_n))))
-            yield _packed(out)
-
-    dealt = keyed.mapInArrow(explode, PACKED).repartition(parts, "bucket")
-
-    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """Per bucket: document, first word, whether to ask for it, and what is known of the score and the backing off."""
-        tops, top_logs = shared.value
-        for _, datas in _by_bucket(batches):
-            parts = [_unpack(d) for d in datas]
-            key = np.concatenate([p[0][p[1]] for p in parts])
-            w1 = np.concatenate([p[2][p[3]] for p in parts])
-            w2 = np.concatenate([np.repeat(p[4], p[5]) for p in parts])
-            del parts, datas
-            _, pair, times = np.unique(_mix(w1, w2), return_inverse=True, return_counts=True)
-            seen = (times[pair] >= min_count) & (w1 != 0)
-            _, word, times2 = np.unique(w2, return_inverse=True, return_counts=True)
-            top2, top1 = _index(w2, tops), _index(w1, tops)
-            log2 = np.where(top2 >= 0, top_logs[top2], np.log(times2)[word]) if len(tops) else np.log(times2)[word]
-            back = ~seen & (w1 != 0)
-            score = np.where(seen, np.log(times)[pair], log2 - log_n + log_alpha * back)
-            known = seen & (top1 >= 0)
-            if len(tops):
-                score -= np.where(known, top_logs[top1], 0.0)
-            yield key, w1, seen & ~known, score, back
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, score, backed = [], [], []
-        for key, _, _, s, b in settle(batches):
-            k, s, b = _summed(key, s, b)
-            keys, score, backed = [*keys, k], [*score, s], [*backed, b]
-        yield _sums_batch(keys, score, backed)
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, w1, asked, _, _ in settle(batches):
-            key, w1 = key[asked], w1[asked]
-            at = _bucket(w1, buckets)
-            order = np.lexsort((w1, at))
-            key, w1, at = key[order], w1[order], at[order]
-            out = []
-            for i, j in _runs(at):
-                rows, row_at = np.unique(key[i:j], return_inverse=True)
-                words, times = np.unique(w1[i:j], return_counts=True)
-                out.append((int(at[i]), _pack(rows, _narrow(row_at), words, _narrow(times))))
-            yield _packed(out)
-
-    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, score = [], []
-        for _, datas in _by_bucket(batches):
-            parts = [_unpack(d) for d in datas]
-            table = next((p for p in parts if len(p) == 2), None)
-            for p in parts:
-                if len(p) == 4:
-                    rows, row_at, words, times = p
-                    logs = np.log(table[1][np.searchsorted(table[0], words)])
-                    k, s = _summed(row_at, np.repeat(-logs, times))
-                    keys, score = [*keys, rows[k]], [*score, s]
-        yield _sums_batch(keys, score, [np.zeros(len(k)) for k in keys])
-
-    asked = dealt.mapInArrow(ask, PACKED).union(counts).repartition(parts, "bucket").mapInArrow(answer, SUMS)
-    total = dealt.mapInArrow(sums, SUMS).union(asked).groupBy("key").agg(F.sum("score").alias("score"), F.sum("backed").alias("backed"))
-    rows = own.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.size(F.filter(F.split("text", "[ \t\n\u000b\f\r]+"), lambda w: w != "")).alias("n"))
-    # Rows of one id and text are summed together: each has an equal part.
-    same = rows.groupBy("key").agg(F.count("*").alias("same"))
-    joined = rows.join(same, "key").join(total, "key", "left")
-    return joined.select(
-        "doc_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_tokens"), F.coalesce((F.col("backed") / F.col("same")).cast("long"), F.lit(0)).alias("n_backoff"),
-        F.coalesce(F.col("score") / F.col("same"), F.lit(0.0)).alias("log_score"))
-
-
-def _narrow(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.min_scalar_type(int(x.max(initial=0))))
+    def ask(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            for key, data in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                _, _, lens, words, at = _unpack(data.as_py())
+                out = []
+                for k, (h, there) in enumerate(_grams(lens, _ascending(words), at, order)):
+                    values, times = np.unique(h[there], return_counts=True)
+                    cuts = np.searchsorted((values >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1))
+                    out += [(key, r * order + k, _pack(_planes(values[i:j]), _narrow(times[i:j]))) for r, (i, j) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if i < j]
+                yield _rows(out)
+
+    def answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r, asked in _by_key(rows, 1):
+            parts = [_unpack(d) for _, d in asked]
+            keys = [_ascending(p[0]) for p in parts]
+            _, at = np.unique(np.concatenate(keys), return_inverse=True)
+            total = np.bincount(at, np.concatenate([p[1] for p in parts])).astype(np.int64)
+            ends = np.cumsum([len(x) for x in keys])
+            yield _rows((key, r, _pack(_narrow(total[at[e - len(x) : e]]))) for (key, _), x, e in zip(asked, keys, ends.tolist(), strict=True))
+
+    def score(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in _by_key(rows, 0):
+            own.sort(key=lambda x: x[0])
+            ids, null, lens, words, at = _unpack(own[0][1])
+            counts: list[np.ndarray] = []
+            grams = _grams(lens, _ascending(words), at, order)
+            for k, (h, there) in enumerate(grams):
+                c = np.zeros(len(h), np.int64)
+                if there.any():
+                    table = np.concatenate([_unpack(d)[0] for r, d in own if r >= 0 and r % order == k])
+                    c[there] = table[np.unique(h[there], return_inverse=True)[1]]
+                counts.append(c)
+            value, backed = np.log(np.maximum(counts[0], 1)) - log_n, np.zeros(len(at), np.int64)
+            for k in range(1, order):
+                there = grams[k][1]
+                seen = there & (counts[k] >= min_count)
+                before = np.ones(len(at), np.int64)
+                before[1:] = np.maximum(counts[k - 1][:-1], 1)
+                value = np.where(seen, np.log(np.maximum(counts[k], 1)) - np.log(before), value + log_alpha * there)
+                backed = np.where(seen, 0, backed + there)
+            doc = np.repeat(np.arange(len(lens)), lens)
+            sums = [np.bincount(doc, x, len(lens)) for x in (backed, value)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, mask=null), pa.array(lens), pa.array(sums[0].astype(np.int64)), pa.array(sums[1])], names=["doc_id", "n_tokens", "n_backoff", "log_score"])
+
+    asked = corpus.mapInArrow(ask, ROWS).repartition(ranges, "range")
+    answers = asked.mapInArrow(answer, ROWS)
+    return corpus.union(answers).repartition(parts_for(batches, 2, 4), "id").mapInArrow(score, SCORES)
 
 
 SQL = """
