@@ -7,8 +7,14 @@ lines in the band around it get an exact distinct count. Boilerplate lines stay
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphcq.llm.common import durable, is_small, pick
 
@@ -21,13 +27,15 @@ BROADCAST_ROWS = 200_000
 
 
 def _key(line: Column) -> Column:
-    return F.struct(F.xxhash64(line).alias("a"), F.hash(line).alias("b"), F.char_length(line).alias("n"))
+    """Two hashes and the length, as Python makes them too."""
+    return F.struct(F.xxhash64(line).alias("a"), F.crc32(F.encode(line, "UTF-8")).alias("b"), F.char_length(line).alias("n"))
 
 
 def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
     """(row, site, doc_id, pos, key) per line of at least `min_words` words; row tells repeated ids apart by their text."""
     lines = docs.select("doc_id", F.col("source").alias("site"), F.xxhash64("text").alias("sum"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    spaces = F.regexp_count(F.trim("line"), F.lit("[ \t]+"))
+    bare = F.trim("line")
+    spaces = F.char_length(bare) - F.char_length(F.replace(bare, F.lit(" "), F.lit("")))
     return lines.where(spaces >= min_words - 1).select("doc_id", "site", "sum", "pos", _key(F.col("line")).alias("key"))
 
 
@@ -49,28 +57,69 @@ def boilerplate(lines: DataFrame, min_sites: int) -> DataFrame:
     return durable(decided.select("key", "first"))
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = 10, min_words: int = 5) -> DataFrame:
-    """docs (doc_id, text, source) with cleaned `text`, n_lines int and n_removed int; other columns are kept.
-
-    A line, exactly as written between line feeds, is boilerplate if it has at least `min_words` words and stands on at
-    least `min_sites` distinct sources (a null source is one of its own). It stays where the smallest (doc_id, checksum
-    of the text, position) has it (null ids first), and goes elsewhere, again in the same document too. A null text stays null with 0
-    lines; an empty text has one empty line; a document of nothing but boilerplate becomes empty but stays. Of repeated
-    rows (same id and text) each is cleaned in the same way. No documents give no rows.
-    """
-    own = pick(docs, ["doc_id", "text", "source"])
-    lines = lines_of(own, min_words)
-    bad = boilerplate(lines, min_sites)
+def _cleaned_by_set(docs: DataFrame, bad: DataFrame) -> DataFrame:
+    """docs with `text`, n_lines and n_removed, from a broadcast of the boilerplate lines' keys: no text moves."""
+    first = {r["a"]: (r["b"], r["n"], tuple(r["first"])) for r in bad.select("key.a", "key.b", "key.n", "first").collect()}  # BROADCAST_ROWS at most, as was checked
+    shared = docs.sparkSession.sparkContext.broadcast(first)
+    names = docs.columns
+    id_at, text_at = names.index("doc_id"), names.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
+        for batch in batches:
+            texts, n_lines, n_removed = [], [], []
+            for doc_id, text, total in zip(batch.column(id_at).to_pylist(), batch.column(text_at).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+                lines = [] if text is None else text.split("\n")
+                kept = []
+                for pos, line in enumerate(lines):
+                    raw = line.encode()
+                    at = known.get(_signed(xxhash.xxh64_intdigest(raw, 42)))
+                    if at is None or at[:2] != (zlib.crc32(raw), len(line)) or at[2] == (doc_id, total, pos):
+                        kept.append(line)
+                texts.append("\n".join(kept) if text is not None and len(kept) < len(lines) else text)
+                n_lines.append(len(lines))
+                n_removed.append(len(lines) - len(kept))
+            columns = list(batch.columns[:-1])
+            columns[text_at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int32()), pa.array(n_removed, pa.int32())], names=[*names, "n_lines", "n_removed"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.IntegerType()), T.StructField("n_removed", T.IntegerType())])
+    return docs.select("*", F.xxhash64("text").alias("_text_sum")).mapInArrow(run, schema)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _cleaned_by_join(docs: DataFrame, lines: DataFrame, bad: DataFrame) -> DataFrame:
+    """The same by joins, for any number of boilerplate lines."""
     here = F.struct("doc_id", "sum", "pos")
-    gone = _only(lines, bad).where(~here.eqNullSafe(F.col("first"))).groupBy("doc_id", "sum").agg(F.collect_set("pos").alias("gone"))
-    gone = durable(gone).select(F.col("doc_id").alias("_id"), F.col("sum").alias("_sum"), F.col("gone").alias("_gone"))
-    small = is_small(gone, BROADCAST_ROWS // 10)
-    kept = docs.withColumn("_sum", F.xxhash64("text"))
-    joined = kept.join(F.broadcast(gone) if small else gone, kept["doc_id"].eqNullSafe(gone["_id"]) & (kept["_sum"] == gone["_sum"]), "left").drop(gone["_sum"])
+    gone = lines.join(bad, "key").where(~here.eqNullSafe(F.col("first"))).groupBy("doc_id", "sum").agg(F.collect_set("pos").alias("_gone"))
+    gone = gone.select(F.col("doc_id").alias("_gone_id"), F.col("sum").alias("_gone_sum"), "_gone")
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs["text"]) == gone["_gone_sum"]), "left")
     left = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("_gone", i))
     cleaned = joined.withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))))
     cleaned = cleaned.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n")))
-    return cleaned.withColumn("n_removed", F.coalesce(F.size("_gone"), F.lit(0))).drop("_id", "_sum", "_gone")
+    return cleaned.withColumn("n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone"))).drop("_gone_id", "_gone_sum", "_gone")
+
+
+def dedup_lines(docs: DataFrame, min_sites: int = 10, min_words: int = 5, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """docs (doc_id, text, source) with cleaned `text`, n_lines int and n_removed int; other columns are kept, but
+    for any of the two new names.
+
+    A line, exactly as written between line feeds, is boilerplate if it has at least `min_words` words (spaces within it,
+    and one) and stands on at least `min_sites` distinct sources (a null source is one of its own). It stays where the
+    smallest (doc_id, checksum of the text, position) has it (null ids first), and goes elsewhere, again in the same
+    document too. A null text stays null with 0 lines; an empty text has one empty line; a document of nothing but
+    boilerplate becomes empty but stays. Of repeated rows (same id and text) each is cleaned in the same way. No
+    documents give no rows. Over `broadcast_rows` boilerplate lines, joins do what a broadcast of their keys does below.
+    """
+    docs = docs.drop("n_lines", "n_removed")
+    lines = lines_of(pick(docs, ["doc_id", "text", "source"]), min_words)
+    bad = boilerplate(lines, min_sites)
+    if is_small(bad, broadcast_rows):
+        return _cleaned_by_set(docs, bad)
+    return _cleaned_by_join(docs, lines, bad)
 
 
 SQL = """
@@ -79,7 +128,7 @@ WITH l AS (
   FROM documents WHERE text IS NOT NULL),
 f AS (
   SELECT line, min(struct_pack(d := doc_id, p := pos)) AS first FROM l
-  WHERE len(regexp_extract_all(trim(line, ' '), '[ \\t]+')) >= 4 GROUP BY line HAVING count(DISTINCT site) >= 10),
+  WHERE length(trim(line, ' ')) - length(replace(trim(line, ' '), ' ', '')) >= 4 GROUP BY line HAVING count(DISTINCT site) >= 10),
 m AS (SELECT l.*, f.line IS NOT NULL AND struct_pack(d := doc_id, p := pos) <> f.first AS gone FROM l LEFT JOIN f USING (line)),
 c AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,
