@@ -22,22 +22,28 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value computed once per row: it is the variable of a transform over an array of one."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _shingles(w: Column, width: int) -> Column:
     """Runs of `width` words, joined by a space; a shorter sequence is one shingle, no words none."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.array_join(F.slice(w, i, width), " "))
-    return F.when(F.size(w) >= width, runs).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
+    def runs(w: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.array_join(F.slice(w, i, width), " "))
+        return F.when(F.size(w) >= width, every).when(F.size(w) > 0, F.array(F.array_join(w, " "))).otherwise(F.array().cast("array<string>"))
+
+    return _bound(w, runs)
 
 
 def _hashes(w: Column, width: int) -> Column:
     """Hashes of the same shingles, out of hashes of their words."""
-    h = F.transform(w, lambda x: F.xxhash64(x))
-
-    def run(h: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)]))
+    def runs(h: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.size(h) - width), lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(width)]))
+        short = F.array(F.xxhash64(F.array_join(F.transform(h, lambda x: x.cast("string")), " ")))
+        return F.when(F.size(h) >= width, every).when(F.size(h) > 0, short).otherwise(F.array().cast("array<bigint>"))
 
-    # The inner array is bound once per row by the outer transform.
-    runs = F.transform(F.array(h), run)[0]
-    return F.when(F.size(w) >= width, runs).when(F.size(w) > 0, F.transform(F.array(h), lambda x: F.array(F.xxhash64(F.array_join(F.transform(x, lambda y: y.cast("string")), " "))))[0])
+    return _bound(F.transform(w, lambda x: F.xxhash64(x)), runs)
 
 
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, width: int = 5) -> DataFrame:
