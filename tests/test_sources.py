@@ -1,0 +1,109 @@
+import json
+import random
+
+import pytest
+
+from graphcq import cli
+from graphcq.engine import Engine
+from graphcq.model import Graph
+from graphcq.sources import edgefile, generator
+from graphcq.streaming.edges import edge_stream, keep_edges
+
+
+def lines(path):
+    return path.read_text().split("\n")
+
+
+def test_edge_file(spark, tmp_path):
+    f = tmp_path / "g.edge"
+    f.write_text("4 3 4\n4 3 4\n0 1 2\n0 1 2\n")
+    graph = edgefile.read_edge_file(spark, str(f))
+    assert sorted(map(tuple, graph.edges.collect())) == [(0, 2, 1), (4, 4, 3)]
+    assert graph.vertices.count() == 4
+    (tmp_path / "e").write_text("")
+    with pytest.raises(ValueError):
+        edgefile.read_edge_file(spark, str(tmp_path / "e"))
+
+
+def test_edge_file_round_trip(spark, tmp_path):
+    edges = spark.createDataFrame([(0, 1, 2), (3, 0, 1)], "src long, label int, trg long")
+    edgefile.write_edge_file(Graph(edges), str(tmp_path / "out.edge"), 4, 2)
+    back = edgefile.read_edge_file(spark, str(tmp_path / "out.edge"))
+    assert sorted(map(tuple, back.edges.collect())) == [(0, 1, 2), (3, 0, 1)]
+
+
+def test_parquet_graph(spark, tmp_path):
+    edges = spark.createDataFrame([(0, 1, 2), (0, 1, 2), (3, 0, 1)], "src long, label int, trg long")
+    edgefile.write_graph(Graph(edges), str(tmp_path / "g"))
+    back = edgefile.read_graph(spark, str(tmp_path / "g"))
+    assert back.edges.count() == 2
+    plan = Engine(back).query("(x) ← 1(x,y)")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(label" in plan and "(label" in plan
+
+
+def test_query_file(spark, tmp_path):
+    f = tmp_path / "q.txt"
+    f.write_text("# shapes\n\n  (x) ← 0(x,y)  \n(y) ← 0(x,y)\n")
+    assert edgefile.read_queries(spark, str(f)) == [(1, "(x) ← 0(x,y)"), (2, "(y) ← 0(x,y)")]
+
+
+def test_partition_json(spark, tmp_path):
+    (tmp_path / "p.json").write_text(json.dumps([{"source": "a", "target": "b", "label": "0", "component": 1}], indent=1))
+    (tmp_path / "f.json").write_text('["a"]')
+    assert [tuple(r) for r in edgefile.read_partition(spark, str(tmp_path / "p.json")).collect()] == [("a", "b", "0", 1)]
+    assert edgefile.read_free_variables(spark, str(tmp_path / "f.json")).first()[0] == "a"
+
+
+def test_generator(spark):
+    rows = [tuple(r) for r in generator.generate(spark, 10, 30, 6, seed=7, exact_labels=True).collect()]
+    rng = random.Random(7)
+    want = [(s, label, t) for s, t, label in generator.PATTERNS["example1"]]
+    for i in range(25):
+        s, t = i % 10, (17 * i + 23) % 10
+        want.append((s, rng.randrange(6), (t + 1) % 10 if s == t else t))
+    assert sorted(rows) == sorted(want)
+    hashed = generator.generate(spark, 10, 30, 6, seed=7)
+    assert hashed.count() == 30 and hashed.where("label < 0 or label > 5").count() == 0
+    assert sorted(map(tuple, hashed.collect())) == sorted(map(tuple, generator.generate(spark, 10, 30, 6, seed=7).collect()))
+
+
+def test_placement():
+    got = generator.placed(["example2"], 2, 10, 3)
+    assert got == [(0, 1, 1), (1, 2, 2), (5, 6, 1), (6, 7, 2)]
+    for bad in ((["nope"], 1, 9, 9), (["example2"], -1, 9, 9), (["example2"], 1, 2, 9), (["example2"], 1, 9, 2)):
+        with pytest.raises(ValueError):
+            generator.placed(*bad)
+
+
+def test_too_few_edges(spark):
+    with pytest.raises(ValueError):
+        generator.generate(spark, 10, 2, 6)
+
+
+def test_cli(spark, tmp_path, capsys):
+    assert cli.main([]) == 0
+    f = tmp_path / "g.edge"
+    f.write_text("3 2 1\n0 1 0\n1 2 0\n")
+    cli.main(["eval", str(f), "(x,y)", "←", "0(x,z),", "0(z,y)"])
+    assert "answers=1\n{?x=0, ?y=2}" in capsys.readouterr().out
+    q = tmp_path / "q.txt"
+    q.write_text("# none\n")
+    cli.main(["eval", str(f), "--queries-file", str(q)])
+    assert "No queries found" in capsys.readouterr().out
+    q.write_text("(x) ← 0(x,y)\n() ← 0(x,x)\n")
+    cli.main(["eval", str(f), "--queries-file", str(q), "--strategy", "random"])
+    assert capsys.readouterr().out.split("\n")[:2] == ["query=1 answers=2", "query=2 answers=0"]
+    cli.main(["generate", str(tmp_path), "--vertices", "20", "--edges", "30", "--labels", "6", "--seed", "1"])
+    path = capsys.readouterr().out.strip()
+    assert path.endswith("graph_v20_e30_l6_s1.edge") and edgefile.read_edge_file(spark, path).vertices.count() == 20
+
+
+def test_edge_stream(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "graph")
+    src.mkdir()
+    (src / "a.edge").write_text("3 2 1 x\n0 1 0\n1 2 0\n")
+    keep_edges(edge_stream(spark, str(src)), out, str(tmp_path / "ckpt")).awaitTermination(60)
+    (src / "b.edge").write_text("1 2 0\n2 0 1\n")
+    keep_edges(edge_stream(spark, str(src)), out, str(tmp_path / "ckpt")).awaitTermination(60)
+    edges = spark.read.parquet(f"{out}/edges").select("src", "label", "trg")
+    assert sorted(map(tuple, edges.collect())) == [(0, 0, 1), (1, 0, 2), (2, 1, 0)]
