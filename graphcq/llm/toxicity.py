@@ -129,9 +129,41 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30)))), hits
 
 
-def _signature(words: set[str]) -> int:
-    """Near copies mostly share it: the least hash of a word. Copies must not count as many witnesses of a stem."""
-    return min((zlib.crc32(w.encode()) for w in words), default=0)
+#: Odd factors that permute 32-bit hashes, three to a band.
+_FACTORS = np.array([0x9E3779B1 + 0x2545F4 * 2 * i for i in range(12)], np.uint32)
+
+
+def _bands(words: list[str]) -> list[int]:
+    """Four hashes, one of which near copies almost surely share: each of three least hashes of four words in a row."""
+    h = np.array([zlib.crc32(" ".join(words[i : i + 4]).encode()) for i in range(max(1, len(words) - 3))], np.uint32)
+    least = [(h * f).min() for f in _FACTORS]
+    return [zlib.crc32(np.array(least[i : i + 3]).tobytes()) for i in range(0, 12, 3)]
+
+
+def _witnesses(sample: DataFrame) -> set[int]:
+    """Keys of one document per group of near copies and label. The sample is bounded, and so is what comes back of it."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"key": f["_key"], "toxic": f["_toxic"], "bands": [_bands(WORD.findall(t.lower())) for t in f["_text"]]})
+
+    group: dict[tuple, tuple] = {}
+
+    def root(x: tuple) -> tuple:
+        while (up := group.setdefault(x, x)) != x:
+            group[x] = x = group[up] if up in group else up
+        return x
+
+    rows = sorted((r["key"], r["toxic"], tuple(r["bands"])) for r in sample.mapInPandas(run, "key long, toxic int, bands array<long>").collect())
+    for _, _, bands in rows:
+        first = root((0, bands[0]))
+        for i, b in enumerate(bands[1:], 1):
+            group[root((i, b))] = first
+            first = root(first)
+    chosen: dict[tuple, int] = {}
+    for key, toxic, bands in rows:
+        chosen.setdefault((root((0, bands[0])), toxic), key)
+    return set(chosen.values())
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, least_docs: int = 6, least_gain: float = 30.0,
@@ -148,26 +180,23 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, least_docs: int
     marks = marks.where(remainder("_id", 5) > 0).groupBy("_id").agg(F.max("_toxic").alias("_toxic")).withColumn("_all", F.lit(0))
     marks = by_hash(marks, "_id", "_all", rows, 1).select("_id", "_toxic")
     # The marks are `rows` at most: broadcast, so that of the texts only the sample's move, and are kept for both passes.
-    sample = durable(docs.select(docs["doc_id"].alias("_id"), docs["text"].alias("_text")).where("_text is not null").join(F.broadcast(marks), "_id"))
+    texts = docs.select(docs["doc_id"].alias("_id"), docs["text"].alias("_text")).where("_text is not null")
+    sample = durable(texts.join(F.broadcast(marks), "_id").withColumn("_key", F.xxhash64("_id", "_text")))
+
+    witnesses = docs.sparkSession.sparkContext.broadcast(_witnesses(sample))  # `rows` keys at most
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: set[tuple[str, int]] = set()
         for f in frames:
             n: Counter[tuple[str, int]] = Counter()
+            f = f[f["_key"].isin(witnesses.value)].drop_duplicates("_key")
             for text, toxic in zip(f["_text"], f["_toxic"], strict=True):
-                words = set(WORD.findall(text.lower()))
-                own = (_signature(words), int(toxic))
-                if own in seen:
-                    continue
-                seen.add(own)
-                n.update((s, own[1]) for s in {s for w in words for s in stems_of(w)})
-                n[("", own[1])] += 1
+                n.update((s, int(toxic)) for s in {s for w in set(WORD.findall(text.lower())) for s in stems_of(w)})
+                n["", int(toxic)] += 1
             if n:
                 keys = list(n)
                 yield pd.DataFrame({"stem": [k[0] for k in keys], "toxic": [k[1] for k in keys], "n": [n[k] for k in keys]})
 
-    by_copy = sample.repartition(F.xxhash64("_text"))
-    counts = by_copy.mapInPandas(count, "stem string, toxic int, n long").groupBy("stem").agg(
+    counts = sample.mapInPandas(count, "stem string, toxic int, n long").groupBy("stem").agg(
         F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
     whole = counts.where("stem = ''").first()
     if not whole or not whole["t"] or not whole["c"]:
