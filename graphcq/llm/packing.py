@@ -22,7 +22,7 @@ from graphcq.llm.common import durable, parts_for, pick
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 #: Words whose ids a worker remembers: so many recent ones, and as many before them.
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Signs that often follow a word; the tokenizer makes a token of its own of them, without joining them to letters.
 TRAILING = ".,;:!?|%*&$#"
 

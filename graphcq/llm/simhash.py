@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from graphcq.llm.common import connected_components, durable, parts_for, pick
 
 #: Rows of the grid join that a task gets, about; pairs that it verifies at once.
-GRID_ROWS, PAIRS = 1_000_000, 2_000_000
+GRID_ROWS, PAIRS = 500_000, 500_000
 
 
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
