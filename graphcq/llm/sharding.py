@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from graphcq.llm.common import pick
 
 #: Finer cells that an arc's ranks are counted in, so that no task has to order a whole arc.
-CELLS = 64
+CELLS = 8
 
 
 def ring_points(shards: int, vnodes: int) -> list[tuple[int, int]]:
