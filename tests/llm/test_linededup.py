@@ -1,0 +1,72 @@
+import random
+from collections import Counter, defaultdict
+
+import pytest
+
+from graphcq.llm import linededup
+from tests.llm.helpers import docs, hard_rows, no_docs, prose
+
+
+def brute(rows, sites, words=5):
+    """Texts after dedup; rows are (doc_id, text, lang, source) with texts unique per id."""
+    where, first = defaultdict(set), {}
+    for doc_id, text, _, source in rows:
+        for pos, line in enumerate(text.split("\n") if text is not None else []):
+            if line.strip(" ").count(" ") >= words - 1:
+                where[line].add(source or "")
+                place = (doc_id is not None, doc_id or 0, pos)
+                first[line] = min(first.get(line, place), place)
+    out = []
+    for doc_id, text, _, _ in rows:
+        lines = text.split("\n") if text is not None else []
+        kept = [x for pos, x in enumerate(lines) if len(where[x]) < sites or first[x] == (doc_id is not None, doc_id or 0, pos)]
+        out.append((doc_id, None if text is None else "\n".join(kept), len(lines), len(lines) - len(kept)))
+    return out
+
+
+def corpus(seed=1, sites=14):
+    rng = random.Random(seed)
+    shared = [prose(rng, 8) for _ in range(6)] + ["one two three four five", "too few words"]
+    rows = []
+    for i in range(120):
+        lines = [prose(rng, rng.randrange(1, 12)) for _ in range(rng.randrange(1, 5))]
+        # Each shared line has its own number of sites, around the threshold.
+        lines += [s for k, s in enumerate(shared) if i % sites <= 7 + k and rng.random() < 0.9]
+        rng.shuffle(lines)
+        rows.append((i, "\n".join(lines), "en", f"s{i % sites}"))
+    return rows + [(200, None, None, "s0"), (201, "", None, None), (202, "\n\n", None, "s1"), (203, "\n".join(shared * 3), None, None), (204, prose(rng, 9000), None, "s2")]
+
+
+@pytest.mark.parametrize("broadcast_rows", [0, 100])
+@pytest.mark.parametrize("sites", [1, 8, 10, 12])
+def test_against_brute_force(spark, sites, broadcast_rows):
+    rows = corpus()
+    got = linededup.dedup_lines(docs(spark, rows), min_sites=sites, broadcast_rows=broadcast_rows)
+    assert sorted((r.doc_id, r.text, r.n_lines, r.n_removed) for r in got.collect()) == sorted(brute(rows, sites), key=lambda r: r[0])
+
+
+def test_sketches_decide_as_exact_counts_do(spark):
+    rng = random.Random(2)
+    lines = [prose(rng, 7) for _ in range(12)]
+    rows = [(s, "\n".join(x for k, x in enumerate(lines) if s < 40 * (k + 1)), None, f"site{s}") for s in range(480)]
+    got = linededup.boilerplate(linededup.lines_of(docs(spark, rows).select("doc_id", "text", "source"), 5), 200)
+    assert got.count() == sum(40 * (k + 1) >= 200 for k in range(12))
+
+
+def test_hard_rows(spark):
+    rows = hard_rows()
+    frame = docs(spark, rows)
+    got = linededup.dedup_lines(frame, min_sites=2)
+    assert got.count() == len(rows) and set(frame.columns) <= set(got.columns)
+    assert Counter(r.text for r in got.collect()) == Counter(t for _, t in rows)  # a single (null) site
+
+
+def test_repeated_rows_are_cleaned_alike(spark):
+    line = "a line that all the sites share"
+    rows = [(1, line, None, "a"), (1, line, None, "a"), (2, line, None, "b"), (2, f"{line}\nmore", None, "c")]
+    got = sorted((r.doc_id, r.text) for r in linededup.dedup_lines(docs(spark, rows), min_sites=2).collect())
+    assert got == [(1, line), (1, line), (2, ""), (2, "more")]
+
+
+def test_no_documents(spark):
+    assert linededup.dedup_lines(no_docs(spark)).count() == 0

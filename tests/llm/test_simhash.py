@@ -1,0 +1,113 @@
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+from graphcq.llm import simhash
+from graphcq.llm.common import connected_components
+from tests.llm.helpers import docs, hard_rows, no_docs, prose
+
+
+def slow_fingerprint(text):
+    low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+    words, word = [], ""
+    for c in low + " ":
+        if c == " " or "\t" <= c <= "\r":
+            words += [word] if word else []
+            word = ""
+        else:
+            word += c
+    if not words:
+        return 0
+    runs = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    h = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def brute(rows, distance):
+    fps = [slow_fingerprint(t) for _, t in rows]
+    group = list(range(len(rows)))
+
+    def root(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= distance:
+                group[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[root(i)] = min(least.get(root(i), d), d)
+    return sorted(str((d, f"{fps[i]:016x}", least.get(root(i)))) for i, (d, _) in enumerate(rows))
+
+
+def corpus(seed=0):
+    rng = random.Random(seed)
+    rows = hard_rows(seed)
+    for k in range(8):
+        words = prose(rng, rng.choice([60, 200, 500])).split()
+        for c in range(14):  # near copies, a word changed here and there, in a chain
+            rows.append((500 + 20 * k + c, " ".join(words)))
+            for _ in range(rng.randrange(0, 3)):
+                words[rng.randrange(len(words))] = "zzz"
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("distance", [4, 7])
+def test_against_brute_force(spark, distance):
+    rows = corpus()
+    got = sorted(str(tuple(r)) for r in simhash.near_duplicates(docs(spark, rows), distance).collect())
+    assert got == brute(rows, distance)
+
+
+def test_fingerprint():
+    for t in ["", None, "one", "A b\tC\nd", "x" * 1000, "é É\x0b日本 \x85 \xa0 a b c d e", "Same same SAME same same", prose(random.Random(1), 20_000)]:
+        assert simhash.fingerprint(t) == slow_fingerprint(t)
+
+
+def test_links_of_random_fingerprints():
+    rng = np.random.default_rng(0)
+    base = rng.integers(0, 2**63, 300).astype(np.int64)
+    near = base ^ np.array([sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 6), replace=False)) for _ in base], np.int64)
+    fps = np.unique(np.concatenate([base, near, [0, 1, -1, -2]]))
+    cells, owners = simhash.grid(fps, 2)
+    edges = simhash.meet(cells, owners, 4)
+    want = np.arange(len(fps))
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count((fps[i] ^ fps).view(np.uint64)) <= 4):
+            want[want == max(want[i], want[j])] = min(want[i], want[j])
+    at = {f: i for i, f in enumerate(fps.tolist())}
+    got = simhash._union(np.arange(len(fps)), np.array([at[u] for u in edges[:, 0].tolist()]), np.array([at[v] for v in edges[:, 1].tolist()]))
+    assert (got == want).all() and len(edges) < len(fps)
+
+
+def test_popcounts_bound_the_distance():
+    rng = np.random.default_rng(1)
+    x, y = (rng.integers(0, 2**64, 500, dtype=np.uint64) for _ in range(2))
+    a, b = (np.stack([(simhash.segment_counts(z) >> np.uint64(4 * i)) & np.uint64(15) for i in range(16)]).astype(int) for z in (x, y))
+    assert (a.sum(axis=0) == np.bitwise_count(x)).all()
+    assert (np.abs(a - b).sum(axis=0) <= np.bitwise_count(x ^ y)).all()
+    assert len(simhash.steps(2)) == 72 and len(set(simhash.steps(2))) == 72
+
+
+def test_components(spark):
+    rng = random.Random(3)
+    edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 40)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
+    edges += [(None, 4), (7, None), (8, 8), (900, 900), *edges[:5]]
+    got = {r.v: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    want = {}
+    for u, v in edges:
+        if u is not None and v is not None and u != v:
+            a, b = want.setdefault(u, u), want.setdefault(v, v)
+            want = {k: min(a, b) if c in (a, b) else c for k, c in want.items()}
+    assert got == want
+
+
+def test_no_documents(spark):
+    assert simhash.near_duplicates(no_docs(spark)).count() == 0
+    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
