@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import gc
+import sys
 import tempfile
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +32,22 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run`, after which a Python worker, which Spark uses again, gives the memory that it has freed back to the system."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def parts_for(n: int, per_part: int, least: int = 1) -> int:
     """Partitions so that each holds about `per_part` of `n` units."""
     return max(least, -(-n // per_part))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphcq.llm.common import pick
+from graphcq.llm.common import giving_back, pick
 from graphcq.llm.sample import by_hash, remainder
 
 WORD = re.compile(r"[^\W\d_]+")
@@ -178,7 +178,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
             out = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(sets, pa.list_(pa.string())), pa.array(shares, pa.list_(pa.float64()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_keep], *out], names=[*batch.schema.names[:n_keep], "lang_pred", "score", "languages", "shares"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(giving_back(run), schema)
 
 
 def language_id(docs: DataFrame, per_lang: int = 3000) -> DataFrame:

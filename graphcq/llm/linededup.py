@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphcq.llm.common import durable, is_small, pick
+from graphcq.llm.common import durable, giving_back, is_small, pick
 
 #: log2 of a sketch's registers; its relative standard error is about 1.04 / sqrt(2**12) = 1.6 %.
 REGISTERS = 12
@@ -84,7 +84,7 @@ def _cleaned_by_set(docs: DataFrame, bad: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*columns, pa.array(n_lines, pa.int32()), pa.array(n_removed, pa.int32())], names=[*names, "n_lines", "n_removed"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("n_lines", T.IntegerType()), T.StructField("n_removed", T.IntegerType())])
-    return docs.select("*", F.xxhash64("text").alias("_text_sum")).mapInArrow(run, schema)
+    return docs.select("*", F.xxhash64("text").alias("_text_sum")).mapInArrow(giving_back(run), schema)
 
 
 def _signed(x: int) -> int:

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphcq.llm.common import durable, parts_for, pick
+from graphcq.llm.common import durable, giving_back, parts_for, pick
 
 #: Tokens of a batch and of a range of hashes, about; words whose hashes a worker remembers at most.
 BATCH_TOKENS, RANGE_TOKENS, REMEMBERED = 1_500_000, 2_000_000, 400_000
@@ -100,7 +100,7 @@ def tokenized(docs: DataFrame) -> DataFrame:
         if ids:
             yield out()
 
-    return docs.mapInArrow(run, "tokens long, data binary")
+    return docs.mapInArrow(giving_back(run), "tokens long, data binary")
 
 
 def _grams(lens: np.ndarray, words: np.ndarray, at: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -195,9 +195,9 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, min_coun
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, mask=null), pa.array(lens), pa.array(sums[0].astype(np.int64)), pa.array(sums[1])], names=["doc_id", "n_tokens", "n_backoff", "log_score"])
 
-    asked = corpus.mapInArrow(ask, ROWS).repartition(ranges, "range")
-    answers = asked.mapInArrow(answer, ROWS)
-    return corpus.union(answers).repartition(parts_for(batches, 2, 4), "id").mapInArrow(score, SCORES)
+    asked = corpus.mapInArrow(giving_back(ask), ROWS).repartition(ranges, "range")
+    answers = asked.mapInArrow(giving_back(answer), ROWS)
+    return corpus.union(answers).repartition(parts_for(batches, 2, 4), "id").mapInArrow(giving_back(score), SCORES)
 
 
 SQL = """

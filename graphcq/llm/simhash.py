@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphcq.llm.common import connected_components, durable, parts_for, pick
+from graphcq.llm.common import connected_components, durable, giving_back, parts_for, pick
 
 #: Rows of the grid join that a task gets, about; pairs that it verifies at once.
 GRID_ROWS, PAIRS = 500_000, 500_000
@@ -50,7 +50,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             found = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    return pick(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id long, fp long")
+    return pick(docs, ["doc_id", "text"]).mapInArrow(giving_back(run), "doc_id long, fp long")
 
 
 def segment_counts(x: np.ndarray) -> np.ndarray:
@@ -149,8 +149,8 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4) -> DataF
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["u", "v"])
 
     parts = parts_for(least.count() * 2 * (len(steps(radius)) + 1), GRID_ROWS)
-    asked = least.select("fp").mapInArrow(ask, "cell long, fp long").repartition(parts, F.shiftright("cell", 1))
-    groups = durable(connected_components(asked.mapInArrow(link, "u long, v long"))).withColumnRenamed("v", "fp")
+    asked = least.select("fp").mapInArrow(giving_back(ask), "cell long, fp long").repartition(parts, F.shiftright("cell", 1))
+    groups = durable(connected_components(asked.mapInArrow(giving_back(link), "u long, v long"))).withColumnRenamed("v", "fp")
     roots = least.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     ids = roots.groupBy("component").agg(F.min("first").alias("component_id"))
     by_fp = roots.select("fp", "component").join(ids, "component").select("fp", "component_id")

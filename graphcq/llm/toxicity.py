@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphcq.llm.common import durable, pick
+from graphcq.llm.common import durable, giving_back, pick
 from graphcq.llm.sample import by_hash, remainder
 
 # Fixed closed-class words of the grammar, in English, German, French and Spanish.
@@ -271,7 +271,7 @@ def score(docs: DataFrame, grammar: Grammar, keep: tuple[str, ...] = ("doc_id",)
             out = [pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= 0.5) for s, _ in found], pa.int32()), pa.array([h for _, h in found], pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *out], names=[*batch.schema.names[:-1], "score", "predicted", "clauses"])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(giving_back(run), schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = 12_000) -> DataFrame:
