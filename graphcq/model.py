@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +12,14 @@ from pyspark.sql import functions as F
 EDGE_SCHEMA = "src bigint, label int, trg bigint"
 
 
+class LabelStats(NamedTuple):
+    """Edges of a label, and about how many sources and targets they have."""
+
+    edges: int
+    sources: int
+    targets: int
+
+
 @dataclass(frozen=True)
 class Graph:
     """Edges, and how many times each may occur.
@@ -21,6 +31,7 @@ class Graph:
     edges: DataFrame
     distinct: bool = False
     vertex_table: DataFrame | None = field(default=None, compare=False)
+    known: dict[int, LabelStats] = field(default_factory=dict, compare=False, repr=False)
 
     @classmethod
     def of(cls, edges: DataFrame, vertices: DataFrame | None = None) -> Graph:
@@ -40,6 +51,15 @@ class Graph:
         known = isinstance(label, int)
         return self.edges.where(F.col("label") == F.lit(label) if known else F.lit(False)).select("src", "trg")
 
+    def statistics(self, labels: Iterable[int]) -> dict[int, LabelStats]:
+        """Sizes of some labels, in one pass over those not known yet; a row per label comes to the driver."""
+        missing = sorted({x for x in labels if isinstance(x, int)} - set(self.known))
+        if missing:
+            own = self.edges.where(F.col("label").isin(missing)).groupBy("label")
+            found = own.agg(F.count("*"), F.approx_count_distinct("src", 0.05), F.approx_count_distinct("trg", 0.05)).collect()
+            self.known.update({x: LabelStats(0, 0, 0) for x in missing} | {r[0]: LabelStats(*r[1:]) for r in found})
+        return self.known
+
     def as_set(self) -> Graph:
         """The same graph with each edge once."""
-        return self if self.distinct else Graph(self.edges.distinct(), True, self.vertex_table)
+        return self if self.distinct else Graph(self.edges.distinct(), True, self.vertex_table, self.known)

@@ -2,37 +2,66 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+@dataclass(frozen=True)
+class Estimate:
+    """About how many rows a relation has, and how many values each variable."""
+
+    rows: float
+    values: Mapping[str, float] = field(default_factory=dict)
+
+    def join(self, other: Estimate) -> Estimate:
+        """Under independence: a row finds as many partners as the wider side has rows per value of what they share."""
+        rows = self.rows * other.rows
+        values = {**self.values, **other.values}
+        for v in set(self.values) & set(other.values):
+            rows /= max(1.0, self.values[v], other.values[v])
+            values[v] = min(self.values[v], other.values[v])
+        return Estimate(rows, values)
+
+    def project(self, variables) -> Estimate:
+        values = {v: n for v, n in self.values.items() if v in variables}
+        bound = 1.0
+        for n in values.values():
+            bound *= max(1.0, n)
+        return Estimate(min(self.rows, bound), values)
+
+
 @dataclass(frozen=True)
 class Relation:
-    """Rows over `variables`, in the columns of those names; `distinct` if no row is repeated."""
+    """Rows over `variables`, in the columns of those names; `distinct` if no row is repeated.
+
+    `label` tells a relation that is the edges of a label from the first variable to the last, for its statistics.
+    """
 
     variables: tuple[str, ...]
     rows: DataFrame
     distinct: bool
+    label: int | str | None = None
 
     @classmethod
-    def of_pairs(cls, pairs: DataFrame, s: str, t: str, distinct: bool) -> Relation:
+    def of_pairs(cls, pairs: DataFrame, s: str, t: str, distinct: bool, label: int | str | None = None) -> Relation:
         """From pairs in the first two columns; one variable for both ends keeps the diagonal."""
         a, b = pairs.columns[:2]
         if s == t:
             return cls((s,), pairs.where(F.col(a) == F.col(b)).select(F.col(a).alias(s)), distinct)
-        return cls((s, t), pairs.select(F.col(a).alias(s), F.col(b).alias(t)), distinct)
+        return cls((s, t), pairs.select(F.col(a).alias(s), F.col(b).alias(t)), distinct, label)
 
     def project(self, variables: list[str] | tuple[str, ...], dedupe: bool = False) -> Relation:
         """Keep some variables. Rows may then repeat; `dedupe` removes that."""
         keep = tuple(v for v in self.variables if v in variables)
         same = len(keep) == len(self.variables)
-        out = Relation(keep, self.rows if same else self.rows.select(*keep), self.distinct and same)
+        out = self if same else Relation(keep, self.rows.select(*keep), False)
         return out.deduped() if dedupe else out
 
     def deduped(self) -> Relation:
-        return self if self.distinct else Relation(self.variables, self.rows.distinct(), True)
+        return self if self.distinct else replace(self, rows=self.rows.distinct(), distinct=True)
 
     def join(self, other: Relation) -> Relation:
         """Natural join; without common variables the cross product that the query asks for."""
@@ -46,4 +75,4 @@ class Relation:
     def semi_join(self, other: Relation) -> Relation:
         """Rows that have a partner; `other` need not be deduplicated."""
         shared = [v for v in self.variables if v in other.variables]
-        return Relation(self.variables, self.rows.join(other.rows.select(*shared), shared, "left_semi"), self.distinct)
+        return replace(self, rows=self.rows.join(other.rows.select(*shared), shared, "left_semi"))

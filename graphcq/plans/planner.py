@@ -4,8 +4,9 @@ One relation per atom or component; then, in this order:
 
 1. reduction: a relation whose other variables occur nowhere else and are not free only filters: it becomes a semi-join
    on its last variable. Repeated, this takes all existential branches off acyclic queries, leaves first;
-2. joins, connected parts one by one: the next relation is one that adds no variable (it closes a cycle and filters), or
-   else adds one; as soon as a variable is dead, it is projected away and the rows deduplicated;
+2. joins, connected parts one by one, in the greedy order of least estimated intermediate rows: edges, sources and
+   targets per label tell how many partners a row finds, and a relation that adds no variable only filters; as soon as a
+   variable is dead, it is projected away and the rows deduplicated;
 3. unconnected parts are deduplicated on their free variables before their product is taken, and parts without free
    variables are cut to one row.
 
@@ -15,16 +16,17 @@ Catalyst and adaptive execution choose the join algorithms, broadcast sides and
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from graphcq.model import Graph
-from graphcq.operators.relation import Relation
+from graphcq.model import Graph, LabelStats
+from graphcq.operators.relation import Estimate, Relation
 from graphcq.plans.components import Component
 from graphcq.plans.normalize import normalize
-from graphcq.syntax.cpq import CPQ, Id, to_cq
+from graphcq.syntax.cpq import CPQ, Edge, Id, to_cq
 from graphcq.syntax.cq import CQ
 
 
@@ -55,30 +57,55 @@ def _parts(relations: list[Relation]) -> list[list[Relation]]:
     return [g[1] for g in groups]
 
 
-def _joined(relations: list[Relation], head: tuple[str, ...]) -> Relation:
+def _estimate(r: Relation, stats: Mapping[int, LabelStats]) -> Estimate:
+    """By a label's statistics, or a guess that makes all other relations alike."""
+    if r.label in stats and len(r.variables) == 2:
+        n = stats[r.label]
+        return Estimate(n.edges, {r.variables[0]: n.sources, r.variables[1]: n.targets})
+    return Estimate(1e6, dict.fromkeys(r.variables, 1e5))
+
+
+def _order(relations: list[Relation], head: tuple[str, ...], stats: Mapping[int, LabelStats]) -> list[int]:
+    """The join order of least summed intermediate rows among greedy ones, one for each first relation."""
+    guess = [_estimate(r, stats) for r in relations]
+    best: tuple[float, list[int]] | None = None
+    for start in range(len(relations)):
+        order, cost, out = [start], 0.0, guess[start]
+        while len(order) < len(relations):
+            left = [i for i in range(len(relations)) if i not in order]
+            near = [i for i in left if set(relations[i].variables) & set(out.values)]
+            joined = {i: out.join(guess[i]) for i in near}
+            step = min(near, key=lambda i: (joined[i].rows, i))
+            order.append(step)
+            out = joined[step]
+            cost += out.rows
+            out = out.project(set(head).union(*(relations[i].variables for i in left if i != step)) & set(out.values))
+        if best is None or cost < best[0]:
+            best = cost, order
+    return best[1]
+
+
+def _joined(relations: list[Relation], head: tuple[str, ...], stats: Mapping[int, LabelStats]) -> Relation:
     """Join one connected group, down to its free variables."""
-    degree = Counter(v for r in relations for v in r.variables)
-    pending = list(relations)
-    # A relation of much shared variables first; among equals one that is narrow.
-    out = max(pending, key=lambda r: (sum(degree[v] for v in r.variables) / len(r.variables), -len(r.variables)))
-    pending.remove(out)
+    pending = [relations[i] for i in _order(relations, head, stats)]
+    out = pending.pop(0)
     while True:
         needed = set(head).union(*(r.variables for r in pending))
         if not set(out.variables) <= needed and (set(out.variables) & needed):
             out = out.project(tuple(needed), dedupe=bool(pending))
         if not pending:
             return out
-        bound = set(out.variables)
-        step = min(
-            (r for r in pending if bound & set(r.variables)),
-            key=lambda r: (len(set(r.variables) - bound), -max(degree[v] for v in r.variables)))
-        pending.remove(step)
-        out = out.join(step)
+        out = out.join(pending.pop(0))
+
 
+def answer(relations: list[Relation], head: tuple[str, ...], graph: Graph) -> DataFrame:
+    """Distinct rows over the free variables, in head order; for none, one row with `satisfied`.
 
-def answer(relations: list[Relation], head: tuple[str, ...]) -> DataFrame:
-    """Distinct rows over the free variables, in head order; for none, one row with `satisfied`."""
-    parts = [_joined(p, head) for p in _parts(_reduced(relations, head))]
+    Statistics are asked for only where there is an order to choose: three relations that hang together, or more.
+    """
+    groups = _parts(_reduced(relations, head))
+    stats = graph.statistics(r.label for g in groups if len(g) > 2 for r in g)
+    parts = [_joined(g, head, stats) for g in groups]
     filters = [p for p in parts if not set(p.variables) & set(head)]
     rest = [p.project(head) for p in parts if set(p.variables) & set(head)]
     some = [p.rows.select(F.lit(1).alias(f"_sat{i}")).limit(1) for i, p in enumerate(filters)]
@@ -95,10 +122,10 @@ def answer(relations: list[Relation], head: tuple[str, ...]) -> DataFrame:
 
 def compile_cq(cq: CQ, graph: Graph) -> DataFrame:
     """The answers of a query: one column per free variable, distinct; `satisfied` for a query without free variables."""
-    relations = [Relation.of_pairs(graph.labelled(a.label), a.src, a.trg, graph.distinct) for a in cq.atoms]
+    relations = [Relation.of_pairs(graph.labelled(a.label), a.src, a.trg, graph.distinct, a.label) for a in cq.atoms]
     for v in cq.isolated:
         relations.append(Relation((v,), graph.vertices.select(F.col("v").alias(v)), True))
-    return answer(relations, cq.head)
+    return answer(relations, cq.head, graph)
 
 
 def compile_cpq(cpq: CPQ, graph: Graph) -> DataFrame:
@@ -116,5 +143,9 @@ def compile_components(components: list[Component], head: tuple[str, ...], graph
             relations.append(Relation((c.s,), graph.vertices.select(F.col("v").alias(c.s)), True))
             continue
         pairs = lookup(c.cpq) if lookup else None
+        if pairs is None and isinstance(c.cpq, Edge):  # the edges themselves, from source to target
+            s, t = (c.t, c.s) if c.cpq.inverse else (c.s, c.t)
+            relations.append(Relation.of_pairs(graph.labelled(c.cpq.label), s, t, graph.distinct, c.cpq.label))
+            continue
         relations.append(Relation.of_pairs(compile_cpq(c.cpq, graph) if pairs is None else pairs, c.s, c.t, True))
-    return answer(relations, head)
+    return answer(relations, head, graph)

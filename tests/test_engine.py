@@ -180,3 +180,25 @@ def test_json_difference(spark):
     left = spark.createDataFrame([(1, "a"), (2, None)], "n int, s string")
     right = spark.createDataFrame([("a", 1)], "s string, n int")
     assert rows(json_difference(left, right)) == {(2, None)}
+
+
+def test_join_order_follows_the_statistics(spark):
+    """A wide label is joined last: the triangle closes on few rows instead of growing through a hub."""
+    hub = [(i, 5, 1000) for i in range(60)] + [(1000, 6, 2000 + i) for i in range(60)] + [(i, 4, 2000 + i) for i in range(3)]
+    graph = graph_of(spark, hub)
+    answers = Engine(graph).query("(a,b) ← 5(a,s), 6(s,b), 4(a,b)")
+    assert rows(answers) == {(i, 2000 + i) for i in range(3)}
+    assert graph.known[5].edges == 63 and graph.known[4].edges == 3
+    from graphcq.operators.relation import Relation
+    from graphcq.plans.planner import _order
+
+    atoms = parse_cq("(a,b) ← 5(a,s), 6(s,b), 4(a,b)").atoms
+    relations = [Relation.of_pairs(graph.labelled(a.label), a.src, a.trg, False, a.label) for a in atoms]
+    assert _order(relations, ("a", "b"), graph.known)[:2] != [0, 1] and 2 in _order(relations, ("a", "b"), graph.known)[:2]
+
+
+def test_no_statistics_where_there_is_no_choice(spark):
+    graph = graph_of(spark, EDGES)
+    Engine(graph).query("(x,y) ← 0(x,z), 1(z,y)")
+    Engine(graph).query("(x) ← 0(x,y), 1(y,z), 2(z,w)")
+    assert graph.known == {}
