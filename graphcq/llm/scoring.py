@@ -197,7 +197,7 @@ def backoff_scores(docs: DataFrame, order: int = 2, alpha: float = 0.4, min_coun
 
     asked = corpus.mapInArrow(giving_back(ask), ROWS).repartition(ranges, "range")
     answers = asked.mapInArrow(giving_back(answer), ROWS)
-    return corpus.union(answers).repartition(parts_for(batches, 2, 4), "id").mapInArrow(giving_back(score), SCORES)
+    return corpus.union(answers).repartition(max(4, batches), "id").mapInArrow(giving_back(score), SCORES)
 
 
 SQL = """
