@@ -50,14 +50,14 @@ class Model:
 
 
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train, per_lang: int = 3000, max_languages: int = 64) -> Model:
-    """Fit on at most `per_lang` rows of each of at most `max_languages` languages, out of those for which `train` holds.
+    """Fit on about `per_lang` distinct rows (id and text) of each of at most `max_languages` languages, out of those for which `train` holds.
 
     The counts are summed by Spark; the driver gets BUCKETS numbers per language. Without any labelled row the model has
     no language and every prediction is `und`.
     """
     rows = docs.where(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
-    rows = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    rows = by_hash(rows, "_id", "_lang", per_lang, max_languages)
+    rows = rows.select(F.xxhash64(id_col, text_col).alias("_key"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
+    rows = by_hash(rows, "_key", "_lang", per_lang, max_languages).dropDuplicates(["_key"])
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

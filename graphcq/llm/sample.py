@@ -2,24 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+SPAN = 1 << 62
+
 
 def remainder(id_col: str, mod: int):
-    """crc32 of the id as text, modulo `mod`; null ids count as 0 of no class and are -1."""
+    """crc32 of the id as text, modulo `mod`; null ids are of no class and give -1."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % mod, F.lit(-1))
 
 
-def by_hash(rows: DataFrame, id_col: str, label: str, per_label: int, max_labels: int = 64) -> DataFrame:
-    """The `per_label` rows of each label with the smallest hashes of their ids (the same ids at every run).
+def by_hash(rows: DataFrame, key: str, label: str, per_label: int, max_labels: int = 64) -> DataFrame:
+    """About `per_label` distinct keys of each label (all, if there are no more), the same ones at every run.
 
-    Only ids and labels are ranked; the texts of the sample are read afterwards, by a filter on the hash. The labels are
-    the `max_labels` commonest, so what is broadcast has that many rows at most.
+    `key` is a hash of a row. A label's share of the keys is settled by its count alone, so nothing is ranked or
+    gathered: rows are kept where their key, hashed again, is below that share of the span. The labels are the
+    `max_labels` commonest, so what is broadcast has that many rows at most. Rows of one key are kept or not together.
     """
-    keyed = rows.withColumn("_hash", F.xxhash64(F.lit(17), F.col(id_col)))
-    rank = F.row_number().over(Window.partitionBy(label).orderBy("_hash"))
-    kept = keyed.select(label, "_hash").withColumn("_rank", rank).where(F.col("_rank") <= per_label)
-    common = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels).select(label)
-    last = kept.groupBy(label).agg(F.max("_hash").alias("_last")).join(F.broadcast(common), label)
-    return keyed.join(F.broadcast(last), label).where("_hash <= _last").drop("_hash", "_last")
+    counts = rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(max_labels)
+    share = counts.select(label, (F.least(F.lit(1.0), per_label / F.col("count")) * SPAN).cast("long").alias("_share"))
+    place = F.pmod(F.xxhash64(F.lit(17), F.col(key)), F.lit(SPAN))
+    return rows.join(F.broadcast(share), label).where(place < F.col("_share")).drop("_share")

@@ -168,9 +168,9 @@ def _witnesses(sample: DataFrame) -> set[int]:
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, least_docs: int = 6, least_gain: float = 30.0,
         least_weight: float = 4.0) -> Grammar:
-    """Learn stems and the logistic function on at most about `rows` labelled documents, at their natural rate.
+    """Learn stems and the logistic function on about `rows` distinct labelled documents, at their natural rate.
 
-    The sample is the labelled rows of smallest hash, but for those whose crc32 of doc_id modulo 5 is 0. A stem counts
+    The sample is drawn by hash of id and text, without those whose crc32 of doc_id modulo 5 is 0. A stem counts
     once per group of near copies; it is kept if at least `least_docs` groups with label 1 have it and its
     log-likelihood ratio against the labels is `least_gain` or more and its log odds `least_weight` or more: weak stems of
     common words would add up over long texts. No usable labels give an empty grammar, and then
@@ -178,11 +178,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 12_000, least_docs: int
     """
     marks = labels.select(labels["doc_id"].alias("_id"), labels["toxic"].cast("int").alias("_toxic")).where("_id is not null and _toxic in (0, 1)")
     marks = marks.where(remainder("_id", 5) > 0).groupBy("_id").agg(F.max("_toxic").alias("_toxic")).withColumn("_all", F.lit(0))
-    marks = by_hash(marks, "_id", "_all", rows, 1).select("_id", "_toxic")
-    # The marks are `rows` at most: broadcast, so that of the texts only the sample's move, and are kept for both passes.
-    texts = docs.select(docs["doc_id"].alias("_id"), docs["text"].alias("_text")).where("_text is not null")
-    sample = durable(texts.join(F.broadcast(marks), "_id").withColumn("_key", F.xxhash64("_id", "_text")))
-
+    # Which documents are drawn is settled on keys; they are about `rows`: broadcast, so that of the texts only theirs move.
+    own = docs.select(docs["doc_id"].alias("_id"), F.xxhash64(docs["doc_id"], docs["text"]).alias("_key"), docs["text"].alias("_text")).where("_text is not null")
+    labelled = own.select("_id", "_key").join(marks, "_id")
+    drawn = durable(by_hash(labelled, "_key", "_all", rows, 1).select("_key", "_toxic").dropDuplicates(["_key"]))
+    sample = durable(own.select("_key", "_text").join(F.broadcast(drawn), "_key").dropDuplicates(["_key"]))
     witnesses = docs.sparkSession.sparkContext.broadcast(_witnesses(sample))  # `rows` keys at most
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
