@@ -12,21 +12,25 @@ from graphcq.model import EDGE_SCHEMA, Graph
 _EDGE = r"^\s*(\d+)\s+(\d+)\s+(\d+)\s*$"
 
 
+def edges_of_lines(lines: DataFrame) -> DataFrame:
+    """(src, label, trg) of the lines (column `value`) that are edges."""
+    part = [F.regexp_extract("value", _EDGE, i) for i in (1, 2, 3)]
+    return lines.where(F.col("value").rlike(_EDGE)).select(part[0].cast("bigint").alias("src"), part[2].cast("int").alias("label"), part[1].cast("bigint").alias("trg"))
+
+
 def read_edge_file(spark: SparkSession, path: str) -> Graph:
-    """Read one edge file. Vertices are 0 .. V-1 by its header; edges become a set.
+    """Read an edge file, or a folder of its parts. Vertices are 0 .. V-1 by its header; edges become a set.
 
-    The header is the first line; it is taken off by its place in the file, so an edge that reads like it stays.
+    The header is the first line of the first part. It is taken off by its place, so an edge that reads like it stays.
     """
-    head = spark.read.text(path).first()
-    if head is None:
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line"))
+    place = F.struct("file", "at", "line")  # line ids grow within a block of a file
+    header = lines.agg(F.min_by("value", place).alias("value"), F.min(place).alias("place")).first()
+    if header["value"] is None:
         raise ValueError(f"no header in {path}")
-    v, _, _ = (int(x) for x in head[0].split())
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("line"))
-    # Line ids grow within a block, and the header is the first line of the block at 0.
-    first = lines.where("at = 0").agg(F.min("line").alias("line"))
-    edges = lines.join(F.broadcast(first), "line", "left_anti").where(F.col("value").rlike(_EDGE))
-    part = [F.regexp_extract("value", _EDGE, i) for i in (1, 2, 3)]
-    edges = edges.select(part[0].cast("bigint").alias("src"), part[2].cast("int").alias("label"), part[1].cast("bigint").alias("trg"))
+    v, _, _ = (int(x) for x in header["value"].split())
+    edges = edges_of_lines(lines.where(F.col("line") != header["place"]["line"]))
     return Graph(edges.distinct(), True, spark.range(v).select(F.col("id").alias("v")))
 
 

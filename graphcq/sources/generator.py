@@ -25,9 +25,7 @@ PATTERNS: dict[str, list[tuple[int, int, int]]] = {
 def needs(name: str) -> tuple[int, int]:
     """Least vertices and labels of a pattern; ids and labels count from 0."""
     edges = PATTERNS[name]
-    vertices = 1 + max(max(s, t) for s, t, _ in edges)
-    # example5 is the tail of a larger drawing: its labels begin at 3.
-    return vertices, 1 + max(label for _, _, label in edges)
+    return 1 + max(max(s, t) for s, t, _ in edges), 1 + max(label for _, _, label in edges)
 
 
 def placed(names: list[str], copies: int, vertices: int, labels: int) -> list[tuple[int, int, int]]:

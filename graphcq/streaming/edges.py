@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from graphcq.model import EDGE_SCHEMA
+from graphcq.sources.edgefile import edges_of_lines
 
 
 def edge_stream(spark: SparkSession, path: str) -> DataFrame:
-    """(src, label, trg) of text files `src trg label` that appear in a folder; headers and other lines are no edges."""
-    lines = spark.readStream.schema("src bigint, trg bigint, label int, more string").csv(path, sep=" ", mode="DROPMALFORMED")
-    return lines.where("more is null and src is not null and trg is not null and label is not null").select("src", "label", "trg")
+    """(src, label, trg) of text files without headers, `src trg label` a line, that appear in a folder."""
+    return edges_of_lines(spark.readStream.text(path))
 
 
 def keep_edges(stream: DataFrame, graph_path: str, checkpoint: str, once: bool = True) -> StreamingQuery:

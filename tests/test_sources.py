@@ -10,10 +10,6 @@ from graphcq.sources import edgefile, generator
 from graphcq.streaming.edges import edge_stream, keep_edges
 
 
-def lines(path):
-    return path.read_text().split("\n")
-
-
 def test_edge_file(spark, tmp_path):
     f = tmp_path / "g.edge"
     f.write_text("4 3 4\n4 3 4\n0 1 2\n0 1 2\n")
@@ -32,6 +28,14 @@ def test_edge_file_round_trip(spark, tmp_path):
     assert sorted(map(tuple, back.edges.collect())) == [(0, 1, 2), (3, 0, 1)]
 
 
+def test_large_edge_file_in_parts(spark, tmp_path):
+    edges = spark.range(5000).selectExpr("id as src", "cast(id % 3 as int) as label", "(id * 7) % 5000 as trg").repartition(5)
+    edgefile.write_edge_file(Graph(edges), str(tmp_path / "big.edge"), 5000, 3)
+    back = edgefile.read_edge_file(spark, str(tmp_path / "big.edge"))
+    assert back.vertices.count() == 5000
+    assert sorted(map(tuple, back.edges.collect())) == sorted(map(tuple, edges.collect()))
+
+
 def test_parquet_graph(spark, tmp_path):
     edges = spark.createDataFrame([(0, 1, 2), (0, 1, 2), (3, 0, 1)], "src long, label int, trg long")
     edgefile.write_graph(Graph(edges), str(tmp_path / "g"))
@@ -101,7 +105,7 @@ def test_cli(spark, tmp_path, capsys):
 def test_edge_stream(spark, tmp_path):
     src, out = tmp_path / "in", str(tmp_path / "graph")
     src.mkdir()
-    (src / "a.edge").write_text("3 2 1 x\n0 1 0\n1 2 0\n")
+    (src / "a.edge").write_text("0 1 0\nnot an edge\n1 2 0\n")
     keep_edges(edge_stream(spark, str(src)), out, str(tmp_path / "ckpt")).awaitTermination(60)
     (src / "b.edge").write_text("1 2 0\n2 0 1\n")
     keep_edges(edge_stream(spark, str(src)), out, str(tmp_path / "ckpt")).awaitTermination(60)
