@@ -63,8 +63,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     `edges` has two long columns (u, v). Returns (v, component) for every vertex with an edge to another vertex, where
     component is the smallest vertex reachable. Null ends and loops are ignored; repeated edges count once; no edges
-    give no rows. Each step is two grouped minima and two joins on vertices, so a hub is pre-aggregated and its join is
-    one that adaptive execution can split; nothing is collected but a row count and a checksum per step.
+    give no rows. Each step is two grouped minima and two joins on vertices. A hub's edges are pre-aggregated for its
+    minimum; the minima are checkpointed before the join, so that both its sides are plain shuffles, which adaptive
+    execution splits where a hub is large. Nothing is collected but a row count and a checksum per step.
     """
     e = edges.where("u is not null and v is not null and u <> v")
     e = durable(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -75,9 +76,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         seen = state
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        e = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        low = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
+        e = durable(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = durable(e.groupBy("u").agg(F.min("v").alias("m")))
         small = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = durable(small.union(low.select("u", F.col("m").alias("v"))).distinct())
     roots = e.select(F.col("v")).distinct().select("v", F.col("v").alias("component"))
