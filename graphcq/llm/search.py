@@ -109,7 +109,8 @@ def exact_top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
     Components become floor(scale * x), x as double. Returns (query_id long, rank int from 1, vec_id long, score long),
     ties to the smaller id, all candidates if fewer than k. Null ids and vectors that are null, empty, or hold null or
     non-finite components take no part, nor do vectors of another length than the most common one (ties: the longest).
-    Of repeated rows with one id and one vector a single one counts. No queries or no candidates give no rows.
+    Of repeated rows with one id and one vector a single one counts; an id with
+    several vectors is several candidates, and one query with the answers of all its vectors. No queries or no candidates give no rows.
     """
     sound = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     base = vectors.select(vectors[id_col].cast("long").alias("vec_id"), F.transform(vectors[vector_col], lambda c: c.cast("double")).alias("v"))
