@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from graphcq.llm.common import durable, giving_back, parts_for, pick
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-#: Words whose ids a worker remembers: so many recent ones, and as many before them.
-REMEMBERED = 250_000
+#: Words whose ids a worker remembers, by default: so many recent ones, and as many before them; some 200 bytes each.
+REMEMBERED = 400_000
 #: Signs that often follow a word; the tokenizer makes a token of its own of them, without joining them to letters.
 TRAILING = ".,;:!?|%*&$#"
 
@@ -45,9 +45,9 @@ class _Ids(dict):
     A word of Latin letters is a single token before the merges, so it goes to the merges at once.
     """
 
-    def __init__(self, tokenizer) -> None:
+    def __init__(self, tokenizer, most: int | None = None) -> None:
         super().__init__()
-        self.tokenizer, self.merges, self.older = tokenizer, tokenizer.model, {}
+        self.tokenizer, self.merges, self.older, self.most = tokenizer, tokenizer.model, {}, most or REMEMBERED
         self.letters = _byte_letters()
 
     def __missing__(self, word: str) -> bytes:
@@ -61,7 +61,7 @@ class _Ids(dict):
                     out += self[word[len(core) :]]
             else:
                 out = self.encode(word)
-        if len(self) >= REMEMBERED:
+        if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
         self[word] = out
@@ -83,7 +83,7 @@ def text_ids(text: str, ids: _Ids) -> bytes:
     return b"".join(map(ids.__getitem__, low.replace("\n", " ").replace("\t", " ").split(" ")))
 
 
-def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int) -> DataFrame:
+def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, remembered: int | None = None) -> DataFrame:
     """One row per piece; a null text is empty; every document ends in `end_id`, so an empty one has one token."""
     with open(tokenizer_path, encoding="utf-8") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())  # a fixed file, not data
@@ -91,7 +91,7 @@ def tokenize_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
 
-        ids = _Ids(Tokenizer.from_str(model.value))
+        ids = _Ids(Tokenizer.from_str(model.value), remembered)
         end = np.asarray([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
@@ -155,15 +155,16 @@ def _packed(items: DataFrame, id_col: str, parts: int, capacity: int, seed: int)
 
 
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, slack: int = 16,
-         items_per_task: int = 60_000) -> DataFrame:
+         items_per_task: int = 60_000, remembered: int | None = None) -> DataFrame:
     """Pack whole documents (doc_id, text) into sequences of at most `capacity` tokens.
 
     Returns PIECES and (sequence_id long, offset long): one row per piece, offsets gapless from 0 in a sequence. Only
     documents longer than `capacity` are cut, into pieces of `capacity` tokens but the last. Null and empty texts give
     one piece of one token; repeated rows and null ids each give their own pieces; no documents give no rows; other
-    columns are ignored. A task holds at most about `items_per_task` items at a time.
+    columns are ignored. A task holds at most about `items_per_task` items at a time, and the ids of `remembered` words
+    twice (REMEMBERED by default).
     """
-    pieces = durable(tokenize_pieces(pick(docs, ["doc_id", "text"]), tokenizer_path, capacity, end_id))
+    pieces = durable(tokenize_pieces(pick(docs, ["doc_id", "text"]), tokenizer_path, capacity, end_id, remembered))
     pieces = pieces.withColumn("item", F.monotonically_increasing_id())  # stable: the rows are fixed by now
     n = pieces.count()
     full = pieces.where(F.col("length") == capacity).withColumns({"bin": F.col("item"), "shift": F.lit(0).cast("long")})
