@@ -57,8 +57,8 @@ def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the documents' tokens into sequences."""
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+    """Pack the documents' tokens into sequences; few words are remembered, as the workers have run all stages before."""
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), remembered=250_000)
 
 
 STAGES = [
