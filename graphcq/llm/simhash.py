@@ -10,7 +10,6 @@ enough), and what meets is verified on the bits.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +58,6 @@ def segment_counts(x: np.ndarray) -> np.ndarray:
     return (pairs & np.uint64(0x3333333333333333)) + ((pairs >> np.uint64(2)) & np.uint64(0x3333333333333333))
 
 
-@lru_cache
 def steps(radius: int) -> np.ndarray:
     """Half of the non-zero vectors of eight integers with Manhattan norm at most `radius`, as sums of 16**i."""
     vectors = {(0,) * 8}
@@ -68,14 +66,14 @@ def steps(radius: int) -> np.ndarray:
     return np.array([sum(c * 16**i for i, c in enumerate(v)) for v in sorted(vectors) if v > (0,) * 8], np.int64)
 
 
-def grid(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(cell, fp) of either half: the own cell, marked by an even number, and the cells asked, by an odd one."""
+def grid(fps: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, fp) of either half: the own cell, marked by an even number, and those that `moves` lead to, by an odd one."""
     counts = segment_counts(fps.view(np.uint64))
     cells, owners = [], []
     for half in (0, 1):
         # 4 more per segment leaves room for the steps; the half is told by the next digit.
         own = ((counts >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)).astype(np.int64) + 0x44444444 + (half << 32)
-        asked = own[:, None] + steps(radius)[None, :]
+        asked = own[:, None] + moves[None, :]
         cells += [own * 2, (asked * 2 + 1).ravel()]
         owners += [fps, np.repeat(fps, asked.shape[1])]
     return np.concatenate(cells), np.concatenate(owners)
@@ -134,13 +132,13 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4) -> DataF
     """
     found = durable(fingerprints(docs, width))
     least = durable(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    radius = distance // 2
+    moves = steps(distance // 2)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy()
             for at in range(0, len(fps), 2000):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in grid(fps[at : at + 2000], radius)], names=["cell", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in grid(fps[at : at + 2000], moves)], names=["cell", "fp"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -148,7 +146,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4) -> DataF
             edges = meet(*(np.concatenate([b.column(k).to_numpy() for b in got]) for k in (0, 1)), distance)
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["u", "v"])
 
-    parts = parts_for(least.count() * 2 * (len(steps(radius)) + 1), GRID_ROWS)
+    parts = parts_for(least.count() * 2 * (len(moves) + 1), GRID_ROWS)
     asked = least.select("fp").mapInArrow(giving_back(ask), "cell long, fp long").repartition(parts, F.shiftright("cell", 1))
     groups = durable(connected_components(asked.mapInArrow(giving_back(link), "u long, v long"))).withColumnRenamed("v", "fp")
     roots = least.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))

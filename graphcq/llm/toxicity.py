@@ -260,12 +260,12 @@ def score(docs: DataFrame, grammar: Grammar, keep: tuple[str, ...] = ("doc_id",)
     Null and empty texts have no clause and get the score of no evidence. Whole texts are scored, one at a time; repeated
     rows each give a row; other columns are ignored.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(grammar)  # STEMS stems at most
+    shared = docs.sparkSession.sparkContext.broadcast((grammar.stems, grammar.bias, grammar.slope))  # STEMS stems at most
     rows = docs.select(*[docs[c] for c in keep], docs[text_col].alias("_text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]) + ", score double, predicted int, clauses int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shared.value)
+        scorer = Scorer(Grammar(*shared.value))
         for batch in batches:
             found = [scorer.score(t.as_py()) for t in batch.column(batch.num_columns - 1)]
             out = [pa.array([s for s, _ in found], pa.float64()), pa.array([int(s >= 0.5) for s, _ in found], pa.int32()), pa.array([h for _, h in found], pa.int32())]

@@ -75,7 +75,7 @@ def test_links_of_random_fingerprints():
     base = rng.integers(0, 2**63, 300).astype(np.int64)
     near = base ^ np.array([sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 6), replace=False)) for _ in base], np.int64)
     fps = np.unique(np.concatenate([base, near, [0, 1, -1, -2]]))
-    cells, owners = simhash.grid(fps, 2)
+    cells, owners = simhash.grid(fps, simhash.steps(2))
     edges = simhash.meet(cells, owners, 4)
     want = np.arange(len(fps))
     for i in range(len(fps)):
