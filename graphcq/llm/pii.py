@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphcq.llm.common import durable, is_small, pick
+from graphcq.llm.common import connected_components, durable, is_small, pick
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns of the kinds. Possessive, and begun only where a run of their signs begins or the last match ended: that
@@ -29,6 +29,8 @@ OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 TERM = r"\p{L}{4,}"
 BROADCAST_ROWS = 200_000
 SPAN = "struct<start:int,end:int,entity:bigint>"
+#: Masks that order 64-bit hashes anew, three to a band.
+MASKS = [0x9E3779B97F4A7C15 * i % 2**63 for i in range(1, 13)]
 
 
 def _luhn(digits: Column) -> Column:
@@ -86,7 +88,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
 def disclosing_terms(docs: DataFrame, base: DataFrame, threshold: float, least_docs: int) -> DataFrame:
     """(entity, term, disclosure): terms that occur with an entity in `least_docs` documents or more, over `threshold`.
 
-    Documents whose smallest word hash is the same (mostly copies) are one witness. All documents count in N, df and co.
+    Near copies are one witness. All documents count in N, df and co.
     """
     held = base.select("doc_id", "sum", F.explode(F.array_distinct(F.transform(F.concat(*KINDS), lambda s: s["entity"]))).alias("entity"))
     held = durable(held)
@@ -95,8 +97,8 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, threshold: float, least_d
     rows = docs.withColumn("sum", F.xxhash64("text"))
     where = repeated.select("doc_id", "sum").distinct()
     where = F.broadcast(where) if is_small(where, BROADCAST_ROWS) else where
-    own = rows.join(where, ["doc_id", "sum"], "left_semi").withColumn("w", _words(F.col("text")))
-    own = own.withColumn("witness", F.array_min(F.transform("w", lambda w: F.xxhash64(w)))).select("doc_id", "sum", "witness", F.explode("w").alias("term"))
+    own = durable(rows.join(where, ["doc_id", "sum"], "left_semi"))
+    own = own.join(_witnesses(own), "sum").select("doc_id", "sum", "witness", F.explode(_words(F.col("text"))).alias("term"))
     pairs = own.join(repeated.select("doc_id", "sum", "entity"), ["doc_id", "sum"])
     pairs = pairs.groupBy("entity", "term", "witness").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("co"), F.count("*").alias("witnesses"))
     pairs = durable(pairs.where(F.col("witnesses") >= least_docs).drop("witnesses"))
@@ -109,6 +111,22 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, threshold: float, least_d
     return scored.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= threshold)
 
 
+def _witnesses(texts: DataFrame) -> DataFrame:
+    """(sum, witness) of texts (sum, text): near copies, which share a band, and what they link have one witness.
+
+    A band is three least hashes of four words in a row: of four bands near copies almost surely share one, others none.
+    """
+    def least(mask: int) -> Column:
+        return F.array_min(F.transform("grams", lambda g: g.bitwiseXOR(F.lit(mask))))
+
+    words = texts.dropDuplicates(["sum"]).select("sum", F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)).alias("words"))
+    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("words") - 3))
+    grams = words.select("sum", F.transform(places, lambda i: F.xxhash64(F.slice("words", i, 4))).alias("grams"))
+    bands = [F.xxhash64(F.lit(k), *map(least, MASKS[k : k + 3])) for k in range(0, len(MASKS), 3)]
+    linked = connected_components(grams.select(F.col("sum").alias("u"), F.explode(F.array(*bands)).alias("v")))
+    return texts.select("sum").distinct().join(linked.select(F.col("v").alias("sum"), F.col("component").alias("witness")), "sum")
+
+
 def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0)))
 

@@ -83,6 +83,20 @@ def test_disclosure_is_the_share_of_information(spark):
     assert got["zanzibar"] == pytest.approx(1.0) and got["thing"] == pytest.approx(0.0)
 
 
+def test_witnesses_are_near_copies_and_nothing_else(spark):
+    rng = random.Random(4)
+    words = prose(rng, 300).split()
+    near = [" ".join(words[:k] + ["altered"] + words[k + 1 :]) for k in (0, 60, 150, 299)]
+    # Long texts over one small vocabulary, so that nearly all have its words, and so the least of their hashes, in common.
+    others = [prose(rng, 300, 120) for _ in range(40)]
+    frame = docs(spark, list(enumerate(near + near[:2] + others))).selectExpr("xxhash64(text) as sum", "text")
+    got = {r.text: r.witness for r in pii._witnesses(frame).join(frame, "sum").collect()}
+    assert len({got[t] for t in near}) == 1 and len({got[t] for t in others}) == 40
+    rows = [(i, f"{t} bob@corp.example.com Zanzibar") for i, t in enumerate(others[:3])] + [(100 + i, t) for i, t in enumerate(others[3:])]
+    found = {r.doc_id: r for r in pii.find(docs(spark, rows)).collect()}
+    assert all("Zanzibar" in [rows[i][1][s.start : s.end] for s in found[i].term] for i in range(3))
+
+
 def test_sanitise(spark):
     rows = disclosing()
     got = {r.doc_id: r.text for r in pii.sanitise(docs(spark, rows)).collect()}
