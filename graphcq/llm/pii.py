@@ -5,8 +5,10 @@ much a term gives an entity away in its absence: the share of the entity's infor
 
     disclosure(t, e) = PMI(t; e) / IC(e) = log(N co(t, e) / (df(t) df(e))) / log(N / df(e)),
 
-which is 1 if the term is only seen with the entity. Terms over a threshold are generalised, those over a higher one
-removed, in the documents that hold the entity.
+which is 1 if the term is only seen with the entity. Most entities occur too seldom for that, so each is also estimated
+through its group g (a mail domain, an IP network, a card issuer, a phone prefix): with P(e | t) = P(g | t) P(e | g) the
+numerator is PMI(t; g), still over IC(e). Terms over a threshold are generalised, those over a higher one removed, in the
+documents that hold the entity.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ PATTERNS = {
 OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})"
 TERM = r"\p{L}{4,}"
 BROADCAST_ROWS = 200_000
-SPAN = "struct<start:int,end:int,entity:bigint>"
+SPAN = "struct<start:int,end:int,entity:bigint,group:bigint>"
 #: Masks that order 64-bit hashes anew, three to a band.
 MASKS = [0x9E3779B97F4A7C15 * i % 2**63 for i in range(1, 13)]
 
@@ -55,18 +57,27 @@ def _sound(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
-def _spans(text: Column, pattern: str, keep, entity) -> Column:
+def _group(kind: str, match: Column) -> Column:
+    """What an entity shares with others of its kind: mail domain, first three parts of an IP address, card issuer, phone number but for its last four digits."""
+    digits = F.regexp_replace(match, "[^0-9]", "")
+    value = {
+        "email": F.substring_index(F.lower(match), "@", -1), "ip": F.substring_index(match, ".", 3),
+        "card": F.substring(digits, 1, 6), "phone": F.substr(digits, F.lit(1), F.length(digits) - 4)}[kind]
+    return F.xxhash64(F.lit(f"{kind} group"), value)
+
+
+def _spans(text: Column, pattern: str, keep, entity, group=lambda m: F.lit(0).cast("long")) -> Column:
     """Spans of the matches that `keep` holds for. The gaps between matches, from a split, tell where each one starts."""
     gaps = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     pairs = F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("match"))
     sized = F.transform(pairs, lambda p: F.struct(
-        F.char_length(p["gap"]).alias("gap"), F.char_length(p["match"]).alias("len"), keep(p["match"]).alias("ok"), entity(p["match"]).alias("entity")))
+        F.char_length(p["gap"]).alias("gap"), F.char_length(p["match"]).alias("len"), keep(p["match"]).alias("ok"), entity(p["match"]).alias("entity"), group(p["match"]).alias("group")))
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin, end = acc["at"] + x["gap"], acc["at"] + x["gap"] + x["len"]
-        span = F.struct(begin.alias("start"), end.alias("end"), x["entity"].alias("entity"))
+        span = F.struct(begin.alias("start"), end.alias("end"), x["entity"].alias("entity"), x["group"].alias("group"))
         return F.struct(end.alias("at"), F.when(x["ok"], F.array_append(acc["out"], span)).otherwise(acc["out"]).alias("out"))
 
     return F.aggregate(sized, start, step, lambda acc: acc["out"])
@@ -75,7 +86,7 @@ def _spans(text: Column, pattern: str, keep, entity) -> Column:
 def _base(text: Column, kind: str) -> Column:
     none = F.array().cast(f"array<{SPAN}>")
     cheap = F.contains(text, F.lit("@")) if kind == "email" else F.contains(text, F.lit("+")) if kind == "phone" else text.rlike(r"[0-9]\.[0-9]") if kind == "ip" else text.rlike("(?:[0-9][ -]?){13}")
-    spans = _spans(text, PATTERNS[kind], lambda m: _sound(kind, m), lambda m: F.xxhash64(F.lit(kind), F.lower(m)))
+    spans = _spans(text, PATTERNS[kind], lambda m: _sound(kind, m), lambda m: F.xxhash64(F.lit(kind), F.lower(m)), lambda m: _group(kind, m))
     return F.when(cheap, spans).otherwise(none)
 
 
@@ -86,29 +97,41 @@ def base_spans(docs: DataFrame) -> DataFrame:
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame, threshold: float, least_docs: int) -> DataFrame:
-    """(entity, term, disclosure): terms that occur with an entity in `least_docs` documents or more, over `threshold`.
+    """(entity, term, disclosure): terms over `threshold`, by the entity or by its group, whichever tells more.
 
-    Near copies are one witness. All documents count in N, df and co.
+    An entity or a group gives evidence of a term by `least_docs` witnesses or more; near copies are one witness. All
+    documents count in N, df and co. Groups too common to reach the threshold with any term are left out beforehand.
     """
-    held = base.select("doc_id", "sum", F.explode(F.array_distinct(F.transform(F.concat(*KINDS), lambda s: s["entity"]))).alias("entity"))
-    held = durable(held)
-    known = durable(held.groupBy("entity").agg(F.count("*").alias("df_e")).where(F.col("df_e") >= least_docs))
-    repeated = durable(held.join(known.select("entity"), "entity", "left_semi"))
+    n = base.count()
+    spans = F.concat(*KINDS)
+    keys = F.array_distinct(F.concat(F.transform(spans, lambda s: s["entity"]), F.transform(spans, lambda s: s["group"])))
+    held = durable(base.select("doc_id", "sum", F.explode(keys).alias("key")))
+    sizes = durable(held.groupBy("key").agg(F.count("*").alias("df")))
+    known = base.select(F.explode(spans).alias("s")).select("s.entity", "s.group").distinct()
+    known = known.join(sizes.select(F.col("key").alias("entity"), F.log(float(n) / F.col("df")).alias("ic")), "entity").where(F.col("ic") > 0)
+    links = known.select("entity", "ic", F.explode(F.array("entity", "group")).alias("key")).join(sizes.where(F.col("df") >= least_docs), "key")
+    links = durable(links.where((F.col("key") == F.col("entity")) | (F.log(float(n) / F.col("df")) >= threshold * F.col("ic"))))
+    repeated = durable(held.join(links.select("key").distinct(), "key", "left_semi").distinct())
     rows = docs.withColumn("sum", F.xxhash64("text"))
     where = repeated.select("doc_id", "sum").distinct()
     where = F.broadcast(where) if is_small(where, BROADCAST_ROWS) else where
     own = durable(rows.join(where, ["doc_id", "sum"], "left_semi"))
-    own = own.join(_witnesses(own), "sum").select("doc_id", "sum", "witness", F.explode(_words(F.col("text"))).alias("term"))
-    pairs = own.join(repeated.select("doc_id", "sum", "entity"), ["doc_id", "sum"])
-    pairs = pairs.groupBy("entity", "term", "witness").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.sum("n").alias("co"), F.count("*").alias("witnesses"))
-    pairs = durable(pairs.where(F.col("witnesses") >= least_docs).drop("witnesses"))
+    own = durable(own.join(_witnesses(own), "sum").select("doc_id", "sum", "witness", F.explode(_words(F.col("text"))).alias("term")))
+    pairs = own.join(repeated, ["doc_id", "sum"])
+    pairs = pairs.groupBy("key", "term", "witness").agg(F.count("*").alias("n")).groupBy("key", "term").agg(F.sum("n").alias("co"), F.count("*").alias("witnesses"))
+    pairs = pairs.where(F.col("witnesses") >= least_docs).drop("witnesses").join(links, "key")
+    # A term is in as many documents as hold it here, or more: what that many keep under the threshold is not looked for elsewhere.
+    pairs = pairs.join(own.groupBy("term").agg(F.count("*").alias("here")), "term").where(_share("here", n) >= threshold)
+    pairs = durable(pairs.drop("here"))
     terms = pairs.select("term").distinct()
     terms = F.broadcast(terms) if is_small(terms, BROADCAST_ROWS) else terms
     df_t = rows.select(F.explode(_words(F.col("text"))).alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df_t"))
-    n = rows.count()
-    share = F.log(F.col("co") * float(n) / (F.col("df_t") * F.col("df_e"))) / F.log(F.lit(float(n)) / F.col("df_e"))
-    scored = pairs.join(known, "entity").join(df_t, "term").where(F.col("df_e") < n)
-    return scored.select("entity", "term", share.alias("disclosure")).where(F.col("disclosure") >= threshold)
+    scored = pairs.join(df_t, "term").groupBy("entity", "term").agg(F.max(_share("df_t", n)).alias("disclosure"))
+    return scored.where(F.col("disclosure") >= threshold)
+
+
+def _share(df_t: str, n: int) -> Column:
+    return F.log(F.col("co") * float(n) / (F.col(df_t) * F.col("df"))) / F.col("ic")
 
 
 def _witnesses(texts: DataFrame) -> DataFrame:
@@ -134,7 +157,7 @@ def _words(text: Column) -> Column:
 def find(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, least_docs: int = 3) -> DataFrame:
     """(doc_id, sum, email, ip, card, phone, term): spans per row of docs (doc_id, text); other columns are ignored.
 
-    Spans are array<struct<start, end, entity>>; those of `term` have a further disclosure, and are to be removed at
+    Spans are array<struct<start, end, entity, group>>; those of `term` have a further disclosure, and are to be removed at
     `remove` or more and generalised below. A null text is empty. `sum` is a checksum of the text: repeated rows each
     give a row, rows of one id and other texts are told apart by it. No documents give no rows.
     """

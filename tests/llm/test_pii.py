@@ -97,6 +97,17 @@ def test_witnesses_are_near_copies_and_nothing_else(spark):
     assert all("Zanzibar" in [rows[i][1][s.start : s.end] for s in found[i].term] for i in range(3))
 
 
+def test_terms_that_disclose_the_group_of_rare_entities(spark):
+    rng = random.Random(5)
+    rows = [(i, f"{prose(rng, 40)} write to {name}@corp.example.com about Zanzibar {prose(rng, 20)}") for i, name in enumerate(["ann", "bob", "eve"])]
+    rows += [(100 + i, f"{prose(rng, 40)} {i}@mail.example.com") for i in range(100)] + [(500 + i, prose(rng, 40)) for i in range(2900)]
+    found = {r.doc_id: r for r in pii.find(docs(spark, rows)).collect()}
+    for i in range(3):
+        named = {rows[i][1][s.start : s.end]: s.disclosure for s in found[i].term}
+        assert named["Zanzibar"] == pytest.approx(0.863, abs=0.001)  # log(3003 / 3) / log(3003)
+    assert not any(found[100 + i].term for i in range(100))  # a domain that says little of its addresses
+
+
 def test_sanitise(spark):
     rows = disclosing()
     got = {r.doc_id: r.text for r in pii.sanitise(docs(spark, rows)).collect()}
