@@ -60,6 +60,14 @@ def op1_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("log_score", F.round("log_score", 4))
 
 
+def trigram_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1 by trigrams, bigrams and words; the SQL of op1_backoff_scores stops at bigrams."""
+    from graphcq.llm.scoring import backoff_scores
+
+    scores = backoff_scores(table(spark, sf_dir, "documents"), order=3)
+    return scores.withColumn("log_score", F.round("log_score", 4))
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from graphcq.llm.linededup import dedup_lines
 
@@ -83,4 +91,6 @@ _QUERIES = (
     op1_backoff_scores, op2_line_dedup, op3_exact_topk, op4_ring_sharding, op5_best_fit_packing, op6_language_id,
     op7_decontamination, op8_simhash_segments, op9_pii_disclosure, op10_toxicity_grammar)
 QUERIES = {f.__name__: f for f in _QUERIES}
+#: Beside the one query of each operator.
+FURTHER = {f.__name__: f for f in (trigram_backoff_scores,)}
 SQL: dict[str, str] = {"op1_backoff_scores": scoring.SQL, "op2_line_dedup": linededup.SQL, "op7_decontamination": decontaminate.SQL}

@@ -58,5 +58,14 @@ def test_sql_agrees(spark):
     assert got == want
 
 
+def test_registered_trigram_query(spark, tmp_path):
+    import __spark_entry__ as entry
+
+    rows = hard_rows(6)
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.doc_id, r.n_tokens, r.n_backoff, r.log_score) for r in entry.queries()["trigram_backoff_scores"](spark, str(tmp_path)).collect()]
+    assert Counter(map(str, got)) == Counter(map(str, brute(rows, 3)))
+
+
 def test_no_documents(spark):
     assert scoring.backoff_scores(no_docs(spark)).count() == 0
