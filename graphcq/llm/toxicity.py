@@ -8,7 +8,8 @@ before it wrote, and weights add up along the way as in the log semiring:
 2. threat: a first-person or future word, then a verb of harm, then a target, within a few words, writes a fixed weight;
 3. target: a second or third person word next to an insult strengthens it;
 4. negation: a negator weakens what follows within a few words;
-5. reported speech: a clause with a verb of saying, or in quotation marks, counts for less.
+5. reported speech: a clause with a verb of saying counts for less, and so does one in quotation marks, or behind a colon,
+   that a verb of saying introduces or follows.
 
 A document is scored on its clauses: a logistic function, fitted on the same bounded sample, of their summed weight.
 """
@@ -38,7 +39,9 @@ INTENT = frozenset("i we will gonna going ich wir werde werden je nous vais allo
 HARM = frozenset("kill hurt destroy beat stab shoot burn murder töten umbringen schlagen tuer frapper détruire matar golpear destruir".split())
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
-CLAUSE = re.compile(r"[.!?;:\n\"«»“”]+")
+CLAUSE = re.compile(r"[.!?;:\n\"«»“”„]+")
+QUOTES = re.compile(r"[\"«»“”„]")
+STOP = re.compile(r"[.!?;\n]")
 #: Shortest and longest stem; words in which a negator or intent still counts; stems in the trie at most.
 SHORT, LONG, REACH, STEMS = 3, 8, 3, 5000
 #: Fixed weights of the grammar.
@@ -66,10 +69,36 @@ def insult(word: str, stems: dict[str, float]) -> float:
     return 0.0
 
 
-def clause_weight(words: list[str], stems: dict[str, float], insults: dict[str, float]) -> float:
-    """Composed weight of one clause; `insults` remembers the weights of words."""
+def clauses_of(text: str) -> list[tuple[list[str], bool]]:
+    """The words of each clause, and whether it is direct speech: in quotation marks, with a verb of saying in the clause
+    right before or after them, or behind a colon that such a clause ends in. A mark that is not closed quotes nothing."""
+    own, marks, at = [], [""], 0
+    for m in CLAUSE.finditer(text):
+        if (words := WORD.findall(text, at, m.start())) or not own:
+            own.append(words)
+            marks.append(m.group())
+        else:  # no words between: marks of one place
+            marks[-1] += m.group()
+        at = m.end()
+    own.append(WORD.findall(text, at))
+    says = [not SAYING.isdisjoint(words) for words in own]
+    speech = [i > 0 and ":" in marks[i] and "\n" not in marks[i] and says[i - 1] for i in range(len(own))]
+    opened, led = None, False
+    for i, mark in enumerate(marks):  # before clause i
+        parts = QUOTES.split(mark)
+        for before, after in zip(parts, parts[1:]):
+            if opened is None:
+                opened, led = i, i > 0 and says[i - 1] and not STOP.search(before)
+                continue
+            if led or says[i] and not STOP.search(after):
+                speech[opened:i] = [True] * (i - opened)
+            opened = None
+    return list(zip(own, speech, strict=True))
+
+
+def clause_weight(words: list[str], stems: dict[str, float], insults: dict[str, float], said: bool = False) -> float:
+    """Composed weight of one clause, which is reported if `said`; `insults` remembers the weights of words."""
     total, negated, intent, harm = 0.0, 0, 0, 0
-    said = False
     for k, word in enumerate(words):
         if word in NEGATORS:
             negated = REACH + 1
@@ -116,10 +145,9 @@ class Scorer:
             return 0.0, 0
         total, hits = 0.0, 0
         found = set(marked)
-        for clause in CLAUSE.split(low):
-            own = WORD.findall(clause)
+        for own, said in clauses_of(low):
             if not found.isdisjoint(own):
-                w = clause_weight(own, self.grammar.stems, self.insults)
+                w = clause_weight(own, self.grammar.stems, self.insults, said)
                 total, hits = total + w, hits + (w > 0)
         return total, hits
 

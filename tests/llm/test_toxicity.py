@@ -89,6 +89,14 @@ def test_grammar():
     assert weigh("blorgen. blorgus") == pytest.approx(2 * plain)
 
 
+def test_direct_speech():
+    plain = 5.0
+    for text in ('he said: "a blorgen thing"', '"a blorgen thing", he said', 'he said "a blorgen thing"', "«a blorgen thing!» dijo", "„a blorgen thing“, sagte er", "she wrote: a blorgen thing", 'he said: "well. a blorgen thing"'):
+        assert weigh(text) == pytest.approx(plain * toxicity.REPORTED), text
+    for text in ('"fine", he said. a blorgen thing', 'he said: "fine". a blorgen thing', 'a blorgen thing" he left', '"a blorgen thing" is here', 'he said so. "a blorgen thing"'):
+        assert weigh(text) == pytest.approx(plain), text
+
+
 def test_stems_are_pruned():
     kept = toxicity._prune({"blo": (5.0, 90.0, 20), "blor": (5.2, 80.0, 20), "blorgen$": (9.0, 50.0, 9), "xyz": (4.5, 40.0, 8)})
     assert kept == {"blo": 5.0, "blorgen$": 9.0, "xyz": 4.5}
