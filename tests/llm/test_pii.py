@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -69,8 +70,6 @@ def test_terms_that_disclose(spark):
 
 
 def test_disclosure_is_the_share_of_information(spark):
-    import math
-
     rows = disclosing()[:-4]
     own = docs(spark, rows).select("doc_id", "text")
     got = {r.term: r.disclosure for r in pii.disclosing_terms(own, pii.base_spans(own), -9.0, 3).collect()}
@@ -108,6 +107,77 @@ def test_terms_that_disclose_the_group_of_rare_entities(spark):
     assert not any(found[100 + i].term for i in range(100))  # a domain that says little of its addresses
 
 
+def brute_terms(rows, generalise=0.8, least_docs=3, reach=400):
+    """The spans of terms per row, straight from the definition; texts are far from being copies of each other."""
+    term = re.compile(r"(?<![^\W_])[^\W\d_]{4,}(?![^\W_])")
+    kinds = {**PATTERNS, "secret": r"(?<![A-Za-z0-9])[A-Za-z0-9]{20,}"}
+    near, n_e, df, co, texts_with = [], Counter(), Counter(), Counter(), {}
+    for _, text in rows:
+        text, own = text or "", set()
+        df.update({w.lower() for w in term.findall(text)})
+        entities = set()
+        for kind, pattern in kinds.items():
+            spans = [m.span() for m in re.finditer(pattern, text)]
+            for i, (a, b) in enumerate(spans):
+                m = text[a:b]
+                if not (re.search("(?:[A-Za-z]+[0-9]+){4}", m) if kind == "secret" else sound(kind, m)):
+                    continue
+                left, right = text[spans[i - 1][1] if i else 0 : a], text[b : spans[i + 1][0] if i + 1 < len(spans) else len(text)]
+                if len(left) > reach:
+                    left = re.sub(r"^[^\W_]+", "", left[-reach:])
+                if len(right) > reach:
+                    right = re.sub(r"[^\W_]+$", "", right[:reach])
+                own |= {((kind, m.lower()), w.lower()) for w in term.findall(left + " | " + right)}
+        entities = {e for e, _ in own}
+        n_e.update(entities)
+        co.update(own)
+        for p in own:
+            texts_with.setdefault(p, set()).add(text)
+        near.append((text, own))
+    n, out = len(rows), []
+    for text, own in near:
+        telling = set()
+        for e, w in own:
+            ic = math.log(n / n_e[e])
+            if ic > 0 and df[w] - co[e, w] + len(texts_with[e, w]) >= least_docs and 1 + math.log(co[e, w] / df[w]) / ic >= generalise:
+                telling.add(w)
+        out.append([f"term:{m.start()}:{m.end()}" for m in term.finditer(text) if m.group().lower() in telling])
+    return out
+
+
+def test_all_spans_against_brute_force(spark):
+    rng = random.Random(9)
+    names = [f"{a}{b}{c}" for a in "karl mira tovo" .split() for b in "bek dul fas gim hov".split() for c in "ana eno ito uwe".split()]
+    rows = []
+    for i in range(400):
+        words = prose(rng, rng.randrange(20, 160)).split()
+        words += rng.choices(names, k=rng.randrange(3))
+        if rng.random() < 0.4:
+            words += rng.choices(["ann@mail1.example.com", f"u{i}@mail2.example.com", f"10.0.{i % 250}.7", "token = 9f8e7d6c5b4a3f2e1d0c9b8a", "4539578763621486", "+1 (988) 555-2485"], k=2)
+        rng.shuffle(words)
+        rows.append((i if i % 50 else None, " ".join(words)))
+    rows += [(7, rows[7][1]), (8, None), (9, "")]
+    got = {}
+    for r in pii.digest(pii.find(docs(spark, rows))).collect():
+        got.setdefault(r.doc_id, []).append((r.n_term, r.spans))
+    want = {}
+    for (doc_id, text), terms in zip(rows, brute_terms(rows), strict=True):
+        base = brute(doc_id, text)[-1]
+        secret = [f"secret:{m.start()}:{m.end()}" for m in re.finditer("9f8e7d6c5b4a3f2e1d0c9b8a", text or "")]
+        want.setdefault(doc_id, []).append((len(terms), ",".join([*([base] if base else []), *secret, *terms])))
+    assert {k: sorted(v) for k, v in got.items()} == {k: sorted(v) for k, v in want.items()}
+    assert sum(n for v in got.values() for n, _ in v) > 50 and any(n for n, _ in got[None])
+
+
+def test_secrets(spark):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    rows = [(1, f'x token = "{key}" y'), (2, "averyverylongwordindeedwithoutdigits"), (3, "12345678901234567890123"), (4, f"é{key}é")]
+    got = {r.doc_id: r for r in pii.digest(pii.find(docs(spark, rows))).collect()}
+    assert got[1].spans == "secret:11:51" and got[1].n_secret == got[1].n_found == 1 and got[4].spans == "secret:1:41"
+    assert got[2].n_found == got[3].n_secret == 0
+    assert {r.doc_id: r.text for r in pii.sanitise(docs(spark, rows)).collect()}[1] == 'x token = "[SECRET]" y'
+
+
 def test_sanitise(spark):
     rows = disclosing()
     got = {r.doc_id: r.text for r in pii.sanitise(docs(spark, rows)).collect()}
