@@ -178,6 +178,7 @@ def find(docs: DataFrame, generalise: float = 0.8, remove: float = 0.95, least_d
     spans = _spans(F.col("text"), TERM, lambda m: F.map_contains_key("marks", F.lower(m)), lambda m: F.coalesce(F.round(F.element_at("marks", F.lower(m)) * 1_000_000), F.lit(0)).cast("long"))
     spans = F.transform(spans, lambda s: F.struct(s["start"], s["end"], (s["entity"] / 1_000_000).alias("disclosure"), (s["entity"] >= remove * 1_000_000).alias("remove")))
     added = own.select("text", F.xxhash64("text").alias("sum")).join(by_text, "sum").select("sum", spans.alias("term")).groupBy("sum").agg(F.any_value("term").alias("term"))
+    added = durable(added)  # so that the join below is of plain shuffles, which are split where one text has very many rows
     none = F.array().cast("array<struct<start:int,end:int,disclosure:double,remove:boolean>>")
     plain = [F.transform(k, lambda s: F.struct(s["start"], s["end"], s["entity"])).alias(k) for k in ENTITIES]
     return base.join(added, "sum", "left").select("doc_id", "sum", *plain, F.coalesce("term", none).alias("term"))
