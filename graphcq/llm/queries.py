@@ -60,11 +60,11 @@ def op1_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores.withColumn("log_score", F.round("log_score", 4))
 
 
-def trigram_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op1 by trigrams, bigrams and words; the SQL of op1_backoff_scores stops at bigrams."""
+def bigram_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op1 by bigrams and words only."""
     from graphcq.llm.scoring import backoff_scores
 
-    scores = backoff_scores(table(spark, sf_dir, "documents"), order=3)
+    scores = backoff_scores(table(spark, sf_dir, "documents"), order=2)
     return scores.withColumn("log_score", F.round("log_score", 4))
 
 
@@ -92,5 +92,6 @@ _QUERIES = (
     op7_decontamination, op8_simhash_segments, op9_pii_disclosure, op10_toxicity_grammar)
 QUERIES = {f.__name__: f for f in _QUERIES}
 #: Beside the one query of each operator.
-FURTHER = {f.__name__: f for f in (trigram_backoff_scores,)}
-SQL: dict[str, str] = {"op1_backoff_scores": scoring.SQL, "op2_line_dedup": linededup.SQL, "op7_decontamination": decontaminate.SQL}
+FURTHER = {f.__name__: f for f in (bigram_backoff_scores,)}
+SQL: dict[str, str] = {
+    "op1_backoff_scores": scoring.SQL, "bigram_backoff_scores": scoring.SQL_OF_BIGRAMS, "op2_line_dedup": linededup.SQL, "op7_decontamination": decontaminate.SQL}

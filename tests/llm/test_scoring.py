@@ -43,8 +43,10 @@ def test_planes_round_trip():
     import numpy as np
 
     x = np.unique(np.random.default_rng(0).integers(0, 2**63, 1000).astype(np.uint64) * np.uint64(2))
-    assert (scoring._ascending(scoring._planes(x)) == x).all()
-    assert len(scoring._ascending(scoring._planes(x[:0]))) == 0
+    assert (scoring._ascending(scoring._deltas(x)) == x).all()
+    assert len(scoring._ascending(scoring._deltas(x[:0]))) == 0
+    for y in (x % np.uint64(200), x % np.uint64(70_000), x[:0].astype(np.int64)):
+        assert (scoring._whole(scoring._split(y)) == y).all()
 
 
 def test_sql_agrees(spark):
@@ -53,18 +55,19 @@ def test_sql_agrees(spark):
     con = duckdb.connect()
     con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
-    want = sorted(con.execute(scoring.SQL).fetchall())
-    got = sorted((r.doc_id, r.n_tokens, r.n_backoff, round(r.log_score, 4)) for r in scoring.backoff_scores(docs(spark, rows)).collect())
-    assert got == want
+    for order, sql in ((3, scoring.SQL), (2, scoring.SQL_OF_BIGRAMS)):
+        got = sorted((r.doc_id, r.n_tokens, r.n_backoff, round(r.log_score, 4)) for r in scoring.backoff_scores(docs(spark, rows), order).collect())
+        assert got == sorted(con.execute(sql).fetchall())
 
 
-def test_registered_trigram_query(spark, tmp_path):
+def test_registered_queries(spark, tmp_path):
     import __spark_entry__ as entry
 
     rows = hard_rows(6)
     docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
-    got = [(r.doc_id, r.n_tokens, r.n_backoff, r.log_score) for r in entry.queries()["trigram_backoff_scores"](spark, str(tmp_path)).collect()]
-    assert Counter(map(str, got)) == Counter(map(str, brute(rows, 3)))
+    for order, name in ((3, "op1_backoff_scores"), (2, "bigram_backoff_scores")):
+        got = [(r.doc_id, r.n_tokens, r.n_backoff, r.log_score) for r in entry.queries()[name](spark, str(tmp_path)).collect()]
+        assert Counter(map(str, got)) == Counter(map(str, brute(rows, order)))
 
 
 def test_no_documents(spark):
