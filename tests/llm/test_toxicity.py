@@ -89,6 +89,78 @@ def test_grammar():
     assert weigh("blorgen. blorgus") == pytest.approx(2 * plain)
 
 
+SYMBOLS = ["insult", "target", "negator", "intent", "harm", "saying", "other"]
+
+
+def by_definition(symbols):
+    """What the grammar says of each place, without states: threats first, then what stands around."""
+    out, reach = list(symbols), toxicity.REACH
+    for i, x in enumerate(symbols):
+        if x == "target":
+            since = max((j for j in range(i) if out[j] == "threat"), default=-1)
+            lower = max((j for j in range(i) if out[j] == "threat"), default=-1)
+            harms = [h for h in range(max(i - reach, lower + 1), i) if symbols[h] == "harm" and any(symbols[w] == "intent" for w in range(max(0, h - reach), h))]
+            out[i] = "threat" if harms and since < min(harms) else x
+    said, result = "saying" in out or "speech" in out, []
+    for i, x in enumerate(out):
+        if x in ("insult", "threat"):
+            aimed = x == "insult" and any(out[j] in ("target", "threat") for j in range(max(0, i - reach), min(len(out), i + reach + 1)))
+            denied = any(out[j] == "negator" for j in range(max(0, i - reach), i))
+            result.append(("aimed" if aimed else x, denied, said))
+        else:
+            result.append(None)
+    return result
+
+
+def test_composed_machine_has_one_path_and_it_is_as_defined():
+    rng, machine = random.Random(3), toxicity.grammar()
+    for n in range(1500):
+        symbols = rng.choices(SYMBOLS, k=rng.randrange(0, 14))
+        if n % 4 == 0:
+            symbols.insert(0, "speech")
+        assert machine.paths(symbols) == [by_definition(symbols)], symbols
+
+
+def test_composition_is_the_cascade():
+    rng = random.Random(4)
+    aim, deny = toxicity.Transducer((0, 0, 0), toxicity._aim, lambda s: not s[2]), toxicity.Transducer(0, toxicity._deny, lambda s: True)
+    both = aim.then(deny)
+    for _ in range(300):
+        symbols = rng.choices(SYMBOLS, k=rng.randrange(0, 9))
+        assert both.paths(symbols) == [z for y in aim.paths(symbols) for z in deny.paths(y)]
+
+
+def test_grammar_decides_where_stems_alone_do_not():
+    rng = random.Random(5)
+    sums, labels = [], []
+    scorer = toxicity.Scorer(toxicity.Grammar(STEMS))
+    for i in range(400):
+        words, toxic = prose(rng, 30).split(), i % 4 == 0
+        words[10:10] = ["blorgen"] if toxic else ["not", "a", "blorgen"]
+        sums.append(scorer.sums(" ".join(words))[0])
+        labels.append(float(toxic))
+    import numpy as np
+
+    learned = toxicity._weighed(toxicity.Grammar(STEMS), np.array(sums), np.full(400, 31.0), np.array(labels))
+    assert learned.denied < toxicity.NEGATED
+    fitted = toxicity.Scorer(learned)
+    assert fitted.score("so this is a blorgen thing " * 1)[0] > 0.5 > fitted.score("so this is not a blorgen thing")[0]
+
+
+def test_words_beside_insults_are_learned(spark):
+    rng = random.Random(6)
+    rows, marks = [], []
+    for i in range(1500):
+        words, kind = prose(rng, 40).split(), 1 if i % 4 == 0 else 2 if i % 37 == 1 else 0
+        words[20:20] = [[], ["blorgen"], ["hardly", "blorgen"]][kind]
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(kind == 1)))
+    learned = toxicity.fit(docs(spark, rows), table(spark, marks))
+    assert learned.negators - toxicity.NEGATORS == {"hardly"} and learned.targets == toxicity.TARGETS
+    fitted = toxicity.Scorer(learned)
+    assert fitted.score(rows[4][1])[0] > 0.5 > fitted.score(rows[38][1])[0]
+
+
 def test_direct_speech():
     plain = 5.0
     for text in ('he said: "a blorgen thing"', '"a blorgen thing", he said', 'he said "a blorgen thing"', "«a blorgen thing!» dijo", "„a blorgen thing“, sagte er", "she wrote: a blorgen thing", 'he said: "well. a blorgen thing"'):
