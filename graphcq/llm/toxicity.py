@@ -392,8 +392,9 @@ def _beside(sample: DataFrame, known: Grammar, witnesses, least_docs: int, least
                     told = np.array([toxic, 1 - toxic, min(max(scorer.score(text)[0], 0.01), 0.99)], float)
                     for w in {w for i in at for w in words[max(0, i - REACH) : i + REACH + 1] if not scorer.insults[w]}:
                         out[w] = out[w] + told if w in out else told
-            rows = np.array(list(out.values())).reshape(-1, 3)
-            yield pd.DataFrame({"word": list(out), "t": rows[:, 0], "c": rows[:, 1], "e": rows[:, 2]})
+            if out:
+                rows = np.array(list(out.values()))
+                yield pd.DataFrame({"word": list(out), "t": rows[:, 0], "c": rows[:, 1], "e": rows[:, 2]})
 
     counts = sample.mapInPandas(run, "word string, t double, c double, e double").groupBy("word").agg(*[F.sum(x).alias(x) for x in "tce"])
     counts = counts.where((F.col("t") + F.col("c") >= least_docs) & (_gain(F.col("t"), F.col("c"), F.col("e")) >= least_gain))
