@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphcq.llm import decontaminate, linededup, scoring
+from graphcq.llm import decontaminate, linededup, scoring, search
 from graphcq.llm.common import table
 
 
@@ -17,9 +17,7 @@ def tokenizer_path(name: str) -> str:
 
 
 def op3_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from graphcq.llm.search import exact_top_k
-
-    return exact_top_k(table(spark, sf_dir, "embeddings"))
+    return search.exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
 def op4_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,4 +92,5 @@ QUERIES = {f.__name__: f for f in _QUERIES}
 #: Beside the one query of each operator.
 FURTHER = {f.__name__: f for f in (bigram_backoff_scores,)}
 SQL: dict[str, str] = {
-    "op1_backoff_scores": scoring.SQL, "bigram_backoff_scores": scoring.SQL_OF_BIGRAMS, "op2_line_dedup": linededup.SQL, "op7_decontamination": decontaminate.SQL}
+    "op1_backoff_scores": scoring.SQL, "bigram_backoff_scores": scoring.SQL_OF_BIGRAMS, "op2_line_dedup": linededup.SQL, "op3_exact_topk": search.SQL,
+    "op7_decontamination": decontaminate.SQL}
