@@ -65,7 +65,7 @@ def test_repeated_rows_count_each(spark):
 
 
 def test_sums_beyond_a_product_of_longs(spark):
-    big = [(i, [3.0e4 * (i + 1), -2.0e4, 1.0, float(i), 0.0, 1.0e5 / (i + 1)]) for i in range(40)]
+    big = [(i, [3.0e4 * (i + 1), -2.0e4, 1.0, float(i), 0.0, float(2**17 // (i + 1))]) for i in range(40)]
     assert run(spark, big) == brute(big, 5, 4)
     huge = [(0, [1e30] * 2), (1, [1e30] * 2), (2, [-1e30] * 2)]
     assert run(spark, huge) == [(0, 1, 1, 2**63 - 1), (0, 2, 2, -(2**63))]
