@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import functools
 import gc
+import re
 import sys
 import tempfile
 from collections.abc import Callable, Iterable, Iterator
@@ -22,16 +23,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` with a reliable checkpoint in the shared folder.
 
-    The folder is the session's spark.checkpoint.dir; one is made only where that is unset, as in tests. Lost executors
-    cost nothing afterwards: the rows are read again from the shared folder.
+    The folder is the session's spark.checkpoint.dir; one is made only where that is unset and all runs in this process, as
+    in tests: elsewhere executors could not read it, and that is an error. Lost executors cost nothing afterwards: the rows
+    are read again from the shared folder.
     """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints"))
     return df.checkpoint(eager=True)
 
 
+def forget(*frames: DataFrame) -> None:
+    """Delete the files of checkpoints that nothing will read any more."""
+    for df in frames:
+        plan = df._jdf.queryExecution().analyzed()
+        if plan.getClass().getSimpleName() == "LogicalRDD" and (file := plan.rdd().getCheckpointFile()).isDefined():
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def giving_back(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """`run`, after which a Python worker, which Spark uses again, gives the memory that it has freed back to the system."""
 
@@ -77,10 +91,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         seen = state
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        e = durable(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = durable(e.groupBy("u").agg(F.min("v").alias("m")))
-        small = e.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = durable(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        forget(e, low)
+        low = durable(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = durable(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        forget(large, low)
     roots = e.select(F.col("v")).distinct().select("v", F.col("v").alias("component"))
     return e.select(F.col("u").alias("v"), F.col("v").alias("component")).union(roots)
 

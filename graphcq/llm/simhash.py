@@ -5,6 +5,9 @@ at most the Hamming distance of the fingerprints, so fingerprints within d bits
 the vector, of eight segments, within d // 2. The join is a grid range-join with unit cells on either half: a
 fingerprint lies in its own cell and asks all cells of that smaller ball (one of each pair of opposite steps is
 enough), and what meets is verified on the bits.
+
+Popcounts crowd around two a segment, so a few cells hold many fingerprints. Those are counted first, and a crowded cell is
+parted: a fingerprint lies in one part of it and asks the later ones, and what asks the cell asks all its parts.
 """
 
 from __future__ import annotations
@@ -21,6 +24,9 @@ from graphcq.llm.common import connected_components, durable, giving_back, parts
 
 #: Rows of the grid join that a task gets, about; pairs that it verifies at once.
 GRID_ROWS, PAIRS = 500_000, 500_000
+#: Fingerprints of a part of a cell, about, and the crowded cells that there may be for each of them: at most 1 / CROWDED
+#: of twice the fingerprints have more. Parts are told by the bits of a cell's number from PART on.
+CROWDED, PART = 5_000, 40
 
 
 def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
@@ -66,17 +72,41 @@ def steps(radius: int) -> np.ndarray:
     return np.array([sum(c * 16**i for i, c in enumerate(v)) for v in sorted(vectors) if v > (0,) * 8], np.int64)
 
 
-def grid(fps: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(cell, fp) of either half: the own cell, marked by an even number, and those that `moves` lead to, by an odd one."""
+def own_cells(fps: np.ndarray) -> list[np.ndarray]:
+    """The fingerprints' own cells, by either half of the vector."""
     counts = segment_counts(fps.view(np.uint64))
-    cells, owners = [], []
-    for half in (0, 1):
-        # 4 more per segment leaves room for the steps; the half is told by the next digit.
-        own = ((counts >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)).astype(np.int64) + 0x44444444 + (half << 32)
-        asked = own[:, None] + moves[None, :]
-        cells += [own * 2, (asked * 2 + 1).ravel()]
-        owners += [fps, np.repeat(fps, asked.shape[1])]
-    return np.concatenate(cells), np.concatenate(owners)
+    # 4 more per segment leaves room for the steps; the half is told by the next digit.
+    return [((counts >> np.uint64(32 * half)) & np.uint64(0xFFFFFFFF)).astype(np.int64) + 0x44444444 + (half << 32) for half in (0, 1)]
+
+
+def grid(fps: np.ndarray, moves: np.ndarray, parted: tuple[np.ndarray, np.ndarray] = (np.empty(0, np.int64),) * 2) -> tuple[np.ndarray, np.ndarray]:
+    """(cell, fp) of either half: the own cell, marked by an even number, and those that `moves` lead to, by an odd one.
+
+    `parted` has crowded cells, ascending, and the parts of each.
+    """
+    mixed = (fps.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)
+
+    def parts(cells: np.ndarray) -> np.ndarray:
+        if not len(parted[0]):
+            return np.ones(len(cells), np.int64)
+        at = np.minimum(np.searchsorted(parted[0], cells), len(parted[0]) - 1)
+        return np.where(parted[0][at] == cells, parted[1][at], 1)
+
+    def each(cells: np.ndarray, fps: np.ndarray, n: np.ndarray, after: np.ndarray) -> None:
+        """Ask the parts of n that come after one."""
+        left = n - after
+        part = np.arange(left.sum()) - np.repeat(np.cumsum(left) - left, left) + np.repeat(after, left)
+        out.append((np.repeat(cells * 2 + 1, left) | part << PART, np.repeat(fps, left)))
+
+    out: list[tuple[np.ndarray, np.ndarray]] = []
+    for own in own_cells(fps):
+        n = parts(own)
+        part = (mixed % n.astype(np.uint64)).astype(np.int64)
+        out.append((own * 2 | part << PART, fps))
+        each(own, fps, n, part + 1)
+        asked = (own[:, None] + moves[None, :]).ravel()
+        each(asked, np.repeat(fps, len(moves)), parts(asked), np.zeros(len(asked), np.int64))
+    return np.concatenate([c for c, _ in out]), np.concatenate([f for _, f in out])
 
 
 def meet(cells: np.ndarray, fps: np.ndarray, distance: int) -> np.ndarray:
@@ -134,11 +164,18 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4) -> DataF
     least = durable(found.groupBy("fp").agg(F.min("doc_id").alias("first")))
     moves = steps(distance // 2)
 
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own_cells(batch.column(0).to_numpy())))], names=["cell"])
+
+    held = least.select("fp").mapInArrow(cells, "cell long").groupBy("cell").count().where(F.col("count") > CROWDED).orderBy("cell").collect()
+    parted = docs.sparkSession.sparkContext.broadcast((np.array([r[0] for r in held], np.int64), np.array([-(-r[1] // CROWDED) for r in held], np.int64)))
+
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = batch.column(0).to_numpy()
             for at in range(0, len(fps), 2000):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in grid(fps[at : at + 2000], moves)], names=["cell", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in grid(fps[at : at + 2000], moves, parted.value)], names=["cell", "fp"])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -150,6 +187,6 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4) -> DataF
     asked = least.select("fp").mapInArrow(giving_back(ask), "cell long, fp long").repartition(parts, F.shiftright("cell", 1))
     groups = durable(connected_components(asked.mapInArrow(giving_back(link), "u long, v long"))).withColumnRenamed("v", "fp")
     roots = least.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    ids = roots.groupBy("component").agg(F.min("first").alias("component_id"))
+    ids = durable(roots.groupBy("component").agg(F.min("first").alias("component_id")))  # so that a large component's join can be split
     by_fp = roots.select("fp", "component").join(ids, "component").select("fp", "component_id")
     return found.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -70,12 +70,15 @@ def test_fingerprint():
         assert simhash.fingerprint(t) == slow_fingerprint(t)
 
 
-def test_links_of_random_fingerprints():
+@pytest.mark.parametrize("crowded", [0, 7])
+def test_links_of_random_fingerprints(crowded):
     rng = np.random.default_rng(0)
     base = rng.integers(0, 2**63, 300).astype(np.int64)
     near = base ^ np.array([sum(1 << int(b) for b in rng.choice(63, rng.integers(0, 6), replace=False)) for _ in base], np.int64)
     fps = np.unique(np.concatenate([base, near, [0, 1, -1, -2]]))
-    cells, owners = simhash.grid(fps, simhash.steps(2))
+    own, held = np.unique(np.concatenate(simhash.own_cells(fps)), return_counts=True)
+    parted = (own, 1 + held % crowded * 3) if crowded else (own[:0], held[:0])
+    cells, owners = simhash.grid(fps, simhash.steps(2), parted)
     edges = simhash.meet(cells, owners, 4)
     want = np.arange(len(fps))
     for i in range(len(fps)):
@@ -86,6 +89,21 @@ def test_links_of_random_fingerprints():
     assert (got == want).all() and len(edges) < len(fps)
 
 
+def test_crowded_cells(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CROWDED", 2)
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 2, 40)) for i in range(600)] + [(700 + i, t) for i, t in enumerate(["", "a b c d", "a b c d"])]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs(spark, rows)).collect()}
+    fps = {i: simhash.fingerprint(t) for i, t in rows}
+    want = {i: i for i in fps}
+    for i in fps:
+        for j in fps:
+            if want[i] != want[j] and (fps[i] ^ fps[j]).bit_count() <= 4:
+                a, b = sorted((want[i], want[j]))
+                want = {k: a if c == b else c for k, c in want.items()}
+    assert got == want
+
+
 def test_popcounts_bound_the_distance():
     rng = np.random.default_rng(1)
     x, y = (rng.integers(0, 2**64, 500, dtype=np.uint64) for _ in range(2))
