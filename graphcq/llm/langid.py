@@ -7,7 +7,10 @@ less a penalty per further language. The prediction is the language of the large
 
 from __future__ import annotations
 
+import hashlib
 import re
+import sys
+import unicodedata
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -23,24 +26,30 @@ from graphcq.llm.common import giving_back, pick
 from graphcq.llm.sample import by_hash, remainder
 
 WORD = re.compile(r"[^\W\d_]+")
+#: Numbers that the expression takes for letters, such as fractions and Roman ones, to blanks.
+NUMBERS = {ord(c): " " for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")}
 BUCKETS = 1 << 15
-#: Words whose likelihoods a worker remembers at most.
-REMEMBERED = 200_000
-#: Longest part of a word that n-grams are taken from at once; longer words are cut into such parts.
-LONGEST = 64
+#: Words whose likelihoods a worker remembers at most; n-grams of a word that are made at once; languages of a model (128 KB each).
+REMEMBERED, AT_ONCE, MOST_LANGUAGES = 200_000, 50_000, 2_000
 
 
-def grams(word: str) -> list[int]:
-    """Hashed bigrams and trigrams of a word with its ends marked."""
+def grams(word: str) -> Iterator[list[int]]:
+    """Hashed bigrams and trigrams of a word with its ends marked, in lists of a bounded size."""
     s = f"^{word}$"
-    return [zlib.crc32(s[i : i + n].encode()) % BUCKETS for n in (2, 3) for i in range(len(s) - n + 1)]
+    for at in range(0, len(s), AT_ONCE):
+        yield [zlib.crc32(s[i : i + n].encode()) % BUCKETS for n in (2, 3) for i in range(at, min(at + AT_ONCE, len(s) - n + 1))]
 
 
 def words_of(text: str | None) -> list[str]:
-    out = WORD.findall((text or "").lower())
-    if any(len(w) > LONGEST for w in out):
-        out = [w[i : i + LONGEST] for w in out for i in range(0, len(w), LONGEST)]
-    return out
+    low = (text or "").lower()
+    if not low.isascii() and not NUMBERS.keys().isdisjoint(map(ord, set(low))):
+        low = low.translate(NUMBERS)
+    return WORD.findall(low)
+
+
+def _name(word: str) -> str | bytes:
+    """What a word is remembered by: long ones by a digest."""
+    return word if len(word) <= 64 else hashlib.blake2b(word.encode(), digest_size=16).digest()
 
 
 @dataclass(frozen=True)
@@ -49,23 +58,23 @@ class Model:
     log_p: np.ndarray  # BUCKETS x languages
 
 
-def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train, per_lang: int = 3000, max_languages: int = 64) -> Model:
-    """Fit on about `per_lang` distinct rows (id and text) of each of at most `max_languages` languages, out of those for which `train` holds.
+def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train, per_lang: int = 3000) -> Model:
+    """Fit on about `per_lang` distinct rows (id and text) of each language, out of those for which `train` holds.
 
-    The counts are summed by Spark; the driver gets BUCKETS numbers per language. Without any labelled row the model has
-    no language and every prediction is `und`.
+    The counts are summed by Spark; the driver gets BUCKETS numbers per language. Over MOST_LANGUAGES languages is an error:
+    the model would not be small. Without any labelled row it has no language and every prediction is `und`.
     """
     rows = docs.where(train & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     rows = rows.select(F.xxhash64(id_col, text_col).alias("_key"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang"))
-    rows = by_hash(rows, "_key", "_lang", per_lang, max_languages).dropDuplicates(["_key"])
+    rows = by_hash(rows, "_key", "_lang", per_lang, MOST_LANGUAGES).dropDuplicates(["_key"])
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for lang, own in f.groupby("_lang"):
                 n = np.zeros(BUCKETS, np.int64)
                 for word, times in Counter(w for t in own["_text"] for w in words_of(t)).items():
-                    for g in grams(word):
-                        n[g] += times
+                    for part in grams(word):
+                        np.add.at(n, part, times)
                 at = np.flatnonzero(n)
                 yield pd.DataFrame({"lang": lang, "bucket": at, "n": n[at]})
 
@@ -95,21 +104,28 @@ def mixture(like: np.ndarray, starts: np.ndarray, allowed: np.ndarray, rounds: i
     return share, np.add.reduceat(np.log(total, dtype=np.float64), starts)
 
 
-def infer(like: np.ndarray, starts: np.ndarray, penalty: float, most: int = 3) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions over the chosen set of each document, and the size of that set."""
+def infer(like: np.ndarray, starts: np.ndarray, penalty: float) -> tuple[np.ndarray, np.ndarray]:
+    """Proportions over the chosen set of each document, and the size of that set.
+
+    Sets grow by the language of the next largest proportion, for as long as that gains more than the penalty.
+    """
     n = np.diff(np.append(starts, len(like)))
     langs = like.shape[1]
     full, _ = mixture(like, starts, np.ones((len(starts), langs)))
     order = np.argsort(-full, axis=1, kind="stable")
     best, chosen, size = np.full(len(starts), -np.inf), np.zeros_like(full), np.ones(len(starts), np.int64)
-    for m in range(1, min(most, langs) + 1):
-        allowed = np.zeros_like(full)
-        np.put_along_axis(allowed, order[:, :m], 1.0, axis=1)
-        share, ll = mixture(like, starts, allowed, rounds=1 if m == 1 else 12)
-        ll = ll - penalty * (m - 1) * np.log1p(n)
-        better = ll > best
-        best, size = np.where(better, ll, best), np.where(better, m, size)
-        chosen[better] = share[better]
+    open_ = np.arange(len(starts))
+    for m in range(1, langs + 1):
+        own = like if len(open_) == len(starts) else like[np.repeat(starts[open_], n[open_]) + np.arange(n[open_].sum()) - np.repeat(np.cumsum(n[open_]) - n[open_], n[open_])]
+        allowed = np.zeros((len(open_), langs))
+        np.put_along_axis(allowed, order[open_, :m], 1.0, axis=1)
+        share, ll = mixture(own, np.cumsum(n[open_]) - n[open_], allowed, rounds=1 if m == 1 else 12)
+        ll = ll - penalty * (m - 1) * np.log1p(n[open_])
+        better = ll > best[open_]
+        open_, share, ll = open_[better], share[better], ll[better]
+        if not len(open_):
+            break
+        best[open_], size[open_], chosen[open_] = ll, m, share
     return chosen, size
 
 
@@ -128,21 +144,23 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, log_p = shared.value
-        seen: dict[str, int] = {}
+        seen: dict[str | bytes, int] = {}
         store = np.empty((1 << 12, max(1, len(langs))), np.float32)
 
         def known(words: list[str]) -> np.ndarray:
             nonlocal seen, store
-            new = set(words).difference(seen)
+            new = {w: _name(w) for w in set(words).difference(seen)}
             if len(seen) + len(new) > REMEMBERED:
-                seen, new = {}, set(words)
-            for w in new:
+                seen, new = {}, {w: _name(w) for w in set(words)}
+            for w, name in new.items():
+                if name in seen:
+                    continue
                 at = len(seen)
                 if at == len(store):
                     store = np.concatenate([store, np.empty_like(store)])
-                store[at] = log_p[grams(w)].sum(axis=0)
-                seen[w] = at
-            return store[np.fromiter(map(seen.__getitem__, words), np.int64, len(words))]
+                store[at] = sum(log_p[part].sum(axis=0) for part in grams(w))
+                seen[name] = at
+            return store[np.fromiter((seen[w] if w in seen else seen[new[w]] for w in words), np.int64, len(words))]
 
         for batch in batches:
             n = batch.num_rows

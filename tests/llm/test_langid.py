@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from graphcq.llm import langid
 from tests.llm.helpers import docs, hard_rows, no_docs
@@ -24,6 +25,29 @@ def held_out(i):
     return zlib.crc32(str(i).encode()) % 4 == 2
 
 
+def test_numbers_are_no_letters(spark):
+    rows = [(i, "der die und " * 5, "de") for i in range(8)] + [(i, t) for i, t in enumerate(["½ ²", "①", "Ⅷ", "3½", "ª", "½a"], 100)]
+    got = {r.doc_id: r.lang_pred for r in langid.language_id(docs(spark, rows)).collect()}
+    assert [got[i] for i in range(100, 106)] == ["und", "und", "und", "und", "de", "de"]
+
+
+def test_many_languages_and_large_sets(spark):
+    rng = random.Random(1)
+    words = {f"l{k:02d}": [f"{a}{chr(0x4E00 + 40 * k + rng.randrange(40))}{b}" for a in "xyz" for b in "uvw"] for k in range(70)}
+    rows = [(i, " ".join(rng.choice(words[f"l{i % 70:02d}"]) for _ in range(30)), f"l{i % 70:02d}") for i in range(490)]
+    model = langid.fit(docs(spark, rows), "doc_id", "text", "lang", F.lit(True))
+    assert len(model.languages) == 70
+    mixed = " ".join(rng.choice(words[x]) for x in ("l03", "l11", "l42", "l69", "l50") for _ in range(60))
+    got = langid.identify(docs(spark, [(1, mixed), *rows[:70]]), model).collect()
+    assert set(next(r for r in got if r.doc_id == 1 and len(r.languages) > 1).languages) == {"l03", "l11", "l42", "l69", "l50"}
+    assert sum(r.lang_pred == f"l{r.doc_id % 70:02d}" for r in got) >= 70
+
+
+def test_long_words_are_words(spark):
+    word = "abc" * 60_000
+    assert sorted(g for part in langid.grams(word) for g in part) == sorted(zlib.crc32(f"^{word}$"[i : i + n].encode()) % langid.BUCKETS for n in (2, 3) for i in range(len(word) + 3 - n))
+
+
 def test_held_out_accuracy(spark):
     rows = corpus()
     got = {r.doc_id: r for r in langid.language_id(docs(spark, rows)).collect()}
