@@ -54,7 +54,7 @@ def _evaluate(spark: SparkSession, args: argparse.Namespace) -> None:
     text = " ".join(args.text)
     if not text:
         raise SystemExit("a query or --queries-file is needed")
-    parts = engine.decompose(text)
+    parts = engine.cover(text)
     if args.show_components:
         for c in parts:
             print(c)

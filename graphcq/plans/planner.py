@@ -136,7 +136,7 @@ def compile_cpq(cpq: CPQ, graph: Graph) -> DataFrame:
 
 
 def compile_components(components: list[Component], head: tuple[str, ...], graph: Graph, lookup=None) -> DataFrame:
-    """The answers of a decomposition: each component's pairs, joined. `lookup` may give stored pairs of a path query."""
+    """The answers of a cover: each component's pairs, joined. `lookup` may give stored pairs of a path query."""
     relations = []
     for c in components:
         if isinstance(c.cpq, Id):

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import tempfile
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +18,7 @@ from graphcq.operators.analysis import join_nodes
 from graphcq.plans.components import Strategy, enumerate_components, exact_covers
 from graphcq.plans.normalize import canonical
 from graphcq.sources.derived import heterogeneous, order_customer
+from graphcq.sources.edgefile import read_edge_file, read_free_variables, read_graph, read_partition, read_queries, write_edge_file, write_graph
 from graphcq.sources.generator import PATTERNS, generate
 from graphcq.sources.pairstore import PairStore, label_sequences
 from graphcq.syntax import CQ, parse_cpq, parse_cq
@@ -144,12 +149,66 @@ def canonical_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairstore_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two steps by a store of all label sequences of one and two steps, through a cover that uses a stored component."""
+    """Two steps looked up in a store of all label sequences of one and two steps."""
     graph = order_customer(spark, sf_dir)
     store = PairStore.build(graph, label_sequences([0], 2), 2)
     return Engine(graph, store=store).paths("0◦0").select(F.col("src").alias("x"), F.col("trg").alias("y"))
 
 
+def _scratch(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: in spark.checkpoint.dir, or a temporary one where all is one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+    return f"{root or tempfile.mkdtemp(prefix='graphs')}/{uuid.uuid4().hex}"
+
+
+def edge_file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A graph written as an edge file and read again."""
+    graph, path = GRAPHS["g3"](spark, sf_dir), _scratch(spark)
+    write_edge_file(graph.as_set(), path, 0, 5)
+    return read_edge_file(spark, path).edges
+
+
+def stored_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query over a graph stored by label."""
+    path = _scratch(spark)
+    write_graph(GRAPHS["g3"](spark, sf_dir), path)
+    return Engine(read_graph(spark, path)).query(CQS["mixed_path2"][1])
+
+
+def pairstore_saved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three steps by a store of all label sequences of one and two steps that was built, saved and loaded."""
+    graph, path = order_customer(spark, sf_dir), _scratch(spark)
+    PairStore.build(graph, label_sequences([0], 2), 2).save(path)
+    return Engine(graph, store=PairStore.load(spark, path)).query(CQS["path3"][1])
+
+
+_FILED = ("path2", "proj_trg", "two_cycle")
+
+
+def query_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query, answers) of the queries of a file, with a comment and a blank line between them."""
+    path = _scratch(spark)
+    lines = ["# queries", "", *(f"  {CQS[n][1]} " for n in _FILED)]
+    spark.createDataFrame([("\n".join(lines),)], "value string").coalesce(1).write.text(path)
+    engine = Engine(order_customer(spark, sf_dir))
+    counts = [answer_count(engine.query(text)).select(F.lit(i).alias("query"), "answers") for i, text in read_queries(spark, path)]
+    return reduce(DataFrame.union, counts)
+
+
+_PARTITION = [("x", "z", "0", 0), ("z", "y", "0", 1), ("z", "w", "1", 1), ("w", "y", "2", 2)]
+
+
+def partition_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Join nodes of a partition and free variables, both read from JSON files."""
+    path = _scratch(spark)
+    atoms = json.dumps([dict(zip(("source", "target", "label", "component"), r, strict=True)) for r in _PARTITION], indent=1)
+    for name, text in (("partition", atoms), ("free", json.dumps(["x", "y"]))):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(f"{path}/{name}")
+    return join_nodes(read_partition(spark, f"{path}/partition"), read_free_variables(spark, f"{path}/free"))
+
+
 _EMBEDDED = ("example1", "example6")
 
 
@@ -173,7 +232,9 @@ def join_nodes_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_nodes(partition, spark.createDataFrame([("100",)], "name string"))
 
 
-_OTHERS = (isolated_variable, count_path2, top5_path2, components_path2, covers_path2, canonical_forms, pairstore_lookup, generated_graph, join_nodes_customers)
+_OTHERS = (
+    isolated_variable, count_path2, top5_path2, components_path2, covers_path2, canonical_forms, pairstore_lookup, generated_graph, join_nodes_customers,
+    edge_file_round_trip, stored_graph, pairstore_saved, query_file, partition_json)
 QUERIES: dict[str, Query] = {
     **{n: _cq(n) for n in CQS},
     **{n: _cpq(n) for n in CPQS},
@@ -210,6 +271,11 @@ SQL: dict[str, str] = {
     "covers_path2": _values([(c,) for c in ("xz:0 ; zy:0", "xz:0 ; yz:0⁻", "zy:0 ; zx:0⁻", "yz:0⁻ ; zx:0⁻", "xy:(0◦0)", "yx:(0⁻◦0⁻)")], ["cover"]),
     "canonical_forms": _values(list(zip(_FORMS, _NORMAL, strict=True)), ["input", "canonical"]),
     "pairstore_lookup": _CQ_SQL["path2"],
+    "edge_file_round_trip": GRAPH_SQL["g3"],
+    "stored_graph": _CQ_SQL["mixed_path2"],
+    "pairstore_saved": _CQ_SQL["path3"],
+    "query_file": " UNION ALL ".join(f"SELECT {i} AS query, (SELECT count(*) FROM ({_CQ_SQL[n]})) AS answers" for i, n in enumerate(_FILED, 1)),
+    "partition_json": _values([(v,) for v in "wxyz"], ["node"]),
     "generated_graph": _generated_sql(),
     "join_nodes_customers": f"{_G1}, e AS (SELECT CAST(src AS VARCHAR) AS v, label FROM g WHERE label IN (0, 2) UNION ALL SELECT CAST(trg AS VARCHAR), label FROM g WHERE label IN (0, 2)) SELECT v AS node FROM e GROUP BY v HAVING count(DISTINCT label) > 1 OR v = '100'",
 }

@@ -37,14 +37,15 @@ def read_edge_file(spark: SparkSession, path: str) -> Graph:
 def write_edge_file(graph: Graph, path: str, vertices: int, labels: int) -> None:
     """Write the format of `read_edge_file`, as a folder of text parts whose first holds the header."""
     edges = graph.edges
-    header = edges.sparkSession.createDataFrame([(0, f"{vertices} {edges.count()} {labels}")], "part int, value string")
-    lines = edges.select(F.lit(1).alias("part"), F.concat_ws(" ", "src", "trg", "label").alias("value"))
-    header.union(lines).repartitionByRange("part").sortWithinPartitions("part").select("value").write.mode("overwrite").text(path)
+    header = edges.sparkSession.createDataFrame([(0, None, None, f"{vertices} {edges.count()} {labels}")], "part int, src bigint, trg bigint, value string")
+    lines = edges.select(F.lit(1).alias("part"), "src", "trg", F.concat_ws(" ", "src", "trg", "label").alias("value"))
+    place = ("part", "src", "trg")
+    header.union(lines).repartitionByRange(*place).sortWithinPartitions(*place).select("value").write.mode("overwrite").text(path)
 
 
 def write_graph(graph: Graph, path: str) -> None:
-    """Store a graph as a set, one Parquet folder per label, so that an atom reads its label alone."""
-    graph.as_set().edges.repartition("label").write.mode("overwrite").partitionBy("label").parquet(f"{path}/edges")
+    """Store a graph as a set, one Parquet folder per label, so that an atom reads its label alone; large labels by many tasks."""
+    graph.as_set().edges.hint("rebalance", "label").write.mode("overwrite").partitionBy("label").parquet(f"{path}/edges")
     graph.vertices.write.mode("overwrite").parquet(f"{path}/vertices")
 
 

@@ -28,6 +28,9 @@ def label_sequences(labels: list[int], k: int) -> list[CPQ]:
 class PairStore:
     """Pairs (canonical, src, trg); a lookup of a path query that is not stored gives None."""
 
+    def has(self, cpq: CPQ) -> bool:
+        return canonical(cpq) in self.keys
+
     def __init__(self, pairs: DataFrame, keys: set[str], k: int) -> None:
         self.pairs, self.keys, self.k = pairs, keys, k
 
@@ -45,7 +48,7 @@ class PairStore:
 
     def save(self, path: str) -> None:
         """One Parquet folder per canonical text, and the true k beside them."""
-        self.pairs.repartition("canonical").write.mode("overwrite").partitionBy("canonical").parquet(f"{path}/pairs")
+        self.pairs.hint("rebalance", "canonical").write.mode("overwrite").partitionBy("canonical").parquet(f"{path}/pairs")
         meta = json.dumps({"k": self.k, "keys": sorted(self.keys)})
         self.pairs.sparkSession.createDataFrame([(meta,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 

@@ -6,7 +6,9 @@ adds what the graph does not have yet.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from graphcq.model import EDGE_SCHEMA
@@ -25,9 +27,14 @@ def keep_edges(stream: DataFrame, graph_path: str, checkpoint: str, once: bool =
         spark = batch.sparkSession
         path = f"{graph_path}/edges"
         new = batch.distinct()
-        fs = spark._jvm.org.apache.hadoop.fs.Path(path)
-        if fs.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs):
-            new = new.join(spark.read.schema(EDGE_SCHEMA).parquet(path), ["src", "label", "trg"], "left_anti")
+        labels = [r[0] for r in new.select("label").distinct().collect()]  # of the alphabet: only their folders are read
+        try:
+            old = spark.read.schema(EDGE_SCHEMA).parquet(path).where(F.col("label").isin(labels))
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        else:
+            new = new.join(old, ["src", "label", "trg"], "left_anti")
         new.write.mode("append").partitionBy("label").parquet(path)
 
     writer = stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)

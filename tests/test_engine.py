@@ -164,7 +164,7 @@ def test_pair_store(spark, tmp_path):
 def test_first_answers(spark):
     engine = Engine(graph_of(spark, EDGES))
     answers = engine.query("(x,y) ← 0(x,y)")
-    order = print_order(engine.decompose("(x,y) ← 0(x,y)"))
+    order = print_order(engine.cover("(x,y) ← 0(x,y)"))
     got = first_answers(answers, 2, order).collect()
     assert [tuple(r) for r in got] == sorted(brute(parse_cq("(x,y) ← 0(x,y)"), set(EDGES), VERTICES))[:2]
     assert format_answer(got[0]).startswith("{?x=")
@@ -202,3 +202,12 @@ def test_no_statistics_where_there_is_no_choice(spark):
     Engine(graph).query("(x,y) ← 0(x,z), 1(z,y)")
     Engine(graph).query("(x) ← 0(x,y), 1(y,z), 2(z,w)")
     assert graph.known == {}
+
+
+def test_query_uses_a_store(spark):
+    graph = Graph(spark.createDataFrame([(1, 0, 2), (2, 0, 3), (3, 1, 4), (4, 0, 5)], "src long, label int, trg long"))
+    store = PairStore.build(graph, [parse_cpq("0◦0")], 2)
+    engine = Engine(graph, store=store)
+    text = "(x,y) ← 0(x,z), 0(z,w), 1(w,y)"
+    assert sorted(c.canonical for c in engine.stored_cover(engine.parse(text))) == ["(0◦0)", "1"]
+    assert rows(engine.query(text)) == rows(Engine(graph).query(text)) == {(1, 4)}
