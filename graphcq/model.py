@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 from typing import NamedTuple
@@ -10,14 +11,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 EDGE_SCHEMA = "src bigint, label int, trg bigint"
+STATS_SCHEMA = "label int, edges bigint, sources bigint, targets bigint, source_fan double, target_fan double"
+
+
+#: One row of 2000 cells: a sum of squared degrees within some 3 %.
+_CELLS = {"eps": 0.001, "confidence": 0.5, "seed": 42}
 
 
 class LabelStats(NamedTuple):
-    """Edges of a label, and about how many sources and targets they have."""
+    """Edges of a label, about how many sources and targets they have, and about how many edges an edge's source, or
+    target, has on average: there hubs count once per edge."""
 
     edges: int
     sources: int
     targets: int
+    source_fan: float
+    target_fan: float
+
+
+def _fan(sketch: bytes) -> float:
+    """Squared degrees over degrees, of a count-min sketch of one row: the squares of its cells less what chance puts together."""
+    _, total, depth, width = struct.unpack_from(">iqii", sketch)
+    cells = struct.unpack_from(f">{width}q", sketch, 20 + 8 * depth)
+    return max(1.0, (sum(c * c for c in cells) - total * total / width) / (1 - 1 / width) / total)
 
 
 @dataclass(frozen=True)
@@ -56,8 +72,11 @@ class Graph:
         missing = sorted({x for x in labels if isinstance(x, int)} - set(self.known))
         if missing:
             own = self.edges.where(F.col("label").isin(missing)).groupBy("label")
-            found = own.agg(F.count("*"), F.approx_count_distinct("src", 0.05), F.approx_count_distinct("trg", 0.05)).collect()
-            self.known.update({x: LabelStats(0, 0, 0) for x in missing} | {r[0]: LabelStats(*r[1:]) for r in found})
+            values = [F.approx_count_distinct(c, 0.05) for c in ("src", "trg")]
+            degrees = [F.count_min_sketch(F.xxhash64(c), **{k: F.lit(v) for k, v in _CELLS.items()}) for c in ("src", "trg")]
+            found = own.agg(F.count("*"), *values, *degrees).collect()
+            self.known.update({x: LabelStats(0, 0, 0, 0.0, 0.0) for x in missing})
+            self.known.update({r[0]: LabelStats(*r[1:4], _fan(r[4]), _fan(r[5])) for r in found})
         return self.known
 
     def as_set(self) -> Graph:

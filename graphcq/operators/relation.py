@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,3 +77,28 @@ class Relation:
         """Rows that have a partner; `other` need not be deduplicated."""
         shared = [v for v in self.variables if v in other.variables]
         return replace(self, rows=self.rows.join(other.rows.select(*shared), shared, "left_semi"))
+
+    def extend(self, v: str, others: list[Relation]) -> Relation:
+        """Join relations of two variables that all add `v`: each row takes its values of `v` from the relation with the
+        fewest for it, and the others only filter.
+
+        A row makes as many rows as its least degree among them, never the product that a hub in one of them would make
+        of a pairwise join. Degrees are one count per vertex, combined before the shuffle; the choice is a column, so
+        rows of all choices go through one join, on (relation, vertex).
+        """
+        ends = [next(u for u in o.variables if u != v) for o in others]
+        rows = self.rows
+        for i, (o, u) in enumerate(zip(others, ends, strict=True)):
+            rows = rows.join(o.rows.groupBy(u).agg(F.count("*").alias(f"_n{i}")), u)
+        degrees = F.array(*(F.col(f"_n{i}") for i in range(len(others))))
+        tagged = reduce(DataFrame.unionByName, [
+            o.rows.select(F.lit(i).alias("_of"), F.col(u).alias("_end"), F.col(v)) for i, (o, u) in enumerate(zip(others, ends, strict=True))])
+        least = F.array_position(degrees, F.array_min(degrees)).cast("int")
+        rows = rows.select(*self.variables, least.alias("_least"))
+        for turn in range(len(others)):  # the least relation first, then the others in turn
+            of = (F.col("_least") + (turn - 1)) % len(others)
+            end = F.element_at(F.array(*(F.col(u) for u in ends)), of + 1)
+            rows = rows.withColumns({"_of": of, "_end": end})
+            rows = rows.join(tagged, ["_of", "_end", v], "left_semi") if turn else rows.join(tagged, ["_of", "_end"])
+        distinct = self.distinct and all(o.distinct for o in others)
+        return Relation((*self.variables, v), rows.select(*self.variables, v), distinct)

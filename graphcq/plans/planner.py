@@ -6,7 +6,9 @@ One relation per atom or component; then, in this order:
    on its last variable. Repeated, this takes all existential branches off acyclic queries, leaves first;
 2. joins, connected parts one by one, in the greedy order of least estimated intermediate rows: edges, sources and
    targets per label tell how many partners a row finds, and a relation that adds no variable only filters; as soon as a
-   variable is dead, it is projected away and the rows deduplicated;
+   variable is dead, it is projected away and the rows deduplicated. Where a step closes a cycle, so that two relations
+   or more would add the same variable, and the edges there hang on hubs, the step joins them all at once, each row by
+   the relation that has least for it (`Relation.extend`): worst-case optimal per step. Elsewhere pairs are cheaper;
 3. unconnected parts are deduplicated on their free variables before their product is taken, and parts without free
    variables are cut to one row.
 
@@ -29,6 +31,9 @@ from graphcq.plans.normalize import normalize
 from graphcq.syntax.cpq import CPQ, Edge, Id, to_cq
 from graphcq.syntax.cq import CQ
 
+#: A cycle is closed by all its relations at once if an edge's end has more edges than this, on average over edges.
+HUB_FAN = 64.0
+
 
 def _reduced(relations: list[Relation], head: tuple[str, ...]) -> list[Relation]:
     """Turn relations that only filter into semi-joins, until none is left to turn."""
@@ -85,6 +90,19 @@ def _order(relations: list[Relation], head: tuple[str, ...], stats: Mapping[int,
     return best[1]
 
 
+def _closing(out: Relation, relation: Relation, pending: list[Relation], stats: Mapping[int, LabelStats]) -> list[Relation]:
+    """The relations that would add the same variable to `out`, and nothing else; none if `relation` is the only one."""
+    new = set(relation.variables) - set(out.variables)
+    same = [r for r in (relation, *pending) if len(r.variables) == 2 and set(r.variables) - set(out.variables) == new]
+    return same if len(new) == 1 and len(same) > 1 and all(r.label in stats for r in same) else []
+
+
+def _fan_of(relation: Relation, out: Relation, stats: Mapping[int, LabelStats]) -> float:
+    """How many partners a row of `out` finds in a relation's edges, if hubs there are hubs here."""
+    n = stats[relation.label]
+    return n.source_fan if relation.variables[0] in out.variables else n.target_fan
+
+
 def _joined(relations: list[Relation], head: tuple[str, ...], stats: Mapping[int, LabelStats]) -> Relation:
     """Join one connected group, down to its free variables."""
     pending = [relations[i] for i in _order(relations, head, stats)]
@@ -95,7 +113,15 @@ def _joined(relations: list[Relation], head: tuple[str, ...], stats: Mapping[int
             out = out.project(tuple(needed), dedupe=bool(pending))
         if not pending:
             return out
-        out = out.join(pending.pop(0))
+        closing = _closing(out, pending[0], pending[1:], stats)
+        least = min(closing, key=lambda r: _fan_of(r, out, stats), default=pending[0])
+        if closing and _fan_of(least, out, stats) > HUB_FAN:
+            (v,) = set(least.variables) - set(out.variables)
+            out = out.extend(v, closing)
+            pending = [r for r in pending if not any(r is c for c in closing)]
+        else:
+            out = out.join(least)
+            pending = [r for r in pending if r is not least]
 
 
 def answer(relations: list[Relation], head: tuple[str, ...], graph: Graph) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphcq.model import EDGE_SCHEMA, Graph
+from graphcq.model import EDGE_SCHEMA, STATS_SCHEMA, Graph, LabelStats
 
 _EDGE = r"^\s*(\d+)\s+(\d+)\s+(\d+)\s*$"
 
@@ -44,14 +45,29 @@ def write_edge_file(graph: Graph, path: str, vertices: int, labels: int) -> None
 
 
 def write_graph(graph: Graph, path: str) -> None:
-    """Store a graph as a set, one Parquet folder per label, so that an atom reads its label alone; large labels by many tasks."""
+    """Store a graph as a set, one Parquet folder per label, so that an atom reads its label alone; large labels by many tasks.
+
+    A row of statistics per label goes beside it, so that queries need not ask for them again. Edges added later leave
+    it as it is, which may cost speed and changes no answer.
+    """
     graph.as_set().edges.hint("rebalance", "label").write.mode("overwrite").partitionBy("label").parquet(f"{path}/edges")
     graph.vertices.write.mode("overwrite").parquet(f"{path}/vertices")
+    spark = graph.edges.sparkSession
+    stored = spark.read.schema(EDGE_SCHEMA).parquet(f"{path}/edges")
+    stats = Graph(stored, True).statistics(r[0] for r in stored.select("label").distinct().collect())
+    spark.createDataFrame([(k, *v) for k, v in stats.items()], STATS_SCHEMA).coalesce(1).write.mode("overwrite").parquet(f"{path}/statistics")
 
 
 def read_graph(spark: SparkSession, path: str) -> Graph:
+    """A graph that `write_graph` stored, with its statistics if they are there."""
     edges = spark.read.schema(EDGE_SCHEMA).parquet(f"{path}/edges")
-    return Graph(edges.select("src", "label", "trg"), True, spark.read.parquet(f"{path}/vertices"))
+    try:
+        known = {r[0]: LabelStats(*r[1:]) for r in spark.read.schema(STATS_SCHEMA).parquet(f"{path}/statistics").collect()}
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        known = {}
+    return Graph(edges.select("src", "label", "trg"), True, spark.read.parquet(f"{path}/vertices"), known)
 
 
 def read_partition(spark: SparkSession, path: str) -> DataFrame:

@@ -69,6 +69,38 @@ def test_queries_against_brute_force(spark, text, distinct):
     assert rows(answers) == brute(cq, set(EDGES), VERTICES)
 
 
+CYCLES = ["(x,y,z) ← 0(x,y), 1(y,z), 2(x,z)", "(x) ← 0(x,y), 1(y,z), 0(x,z), 2(x,z)", "(x,y,z) ← 0(x,y), 1(z,y), 0(z,x), 1(x,z)", "(a,c) ← 0(a,b), 1(b,c), 0(c,d), 1(d,a), 2(a,c)"]
+
+
+@pytest.mark.parametrize("text", CYCLES)
+@pytest.mark.parametrize("distinct", [False, True])
+def test_cycles_closed_by_all_relations_at_once(spark, text, distinct, monkeypatch):
+    monkeypatch.setattr("graphcq.plans.planner.HUB_FAN", 0.0)
+    cq, graph = parse_cq(text), graph_of(spark, EDGES)
+    answers = Engine(graph.as_set() if distinct else graph).query(cq)
+    assert "_least" in answers._jdf.queryExecution().analyzed().toString()
+    assert rows(answers) == brute(cq, set(EDGES), VERTICES)
+    assert answers.count() == answers.distinct().count()
+
+
+def test_a_cycle_through_hubs_makes_no_squared_rows(spark):
+    """Every pair of the three relations joins to n x n rows here; closed at once, a row makes one."""
+    n = 5000
+    ends = "explode(array(struct(id AS s, 0L AS t), struct(0L AS s, id AS t))) AS e"
+    star = spark.range(1, n).selectExpr(ends).selectExpr("e.s AS src", "explode(array(0, 1, 2)) AS label", "e.t AS trg")
+    graph = Graph.of(star)
+    text = "(x,y,z) ← 0(x,y), 1(y,z), 2(x,z)"
+    assert Engine(graph).query(text).count() == 0
+    assert graph.known[0].source_fan > 1000
+    answers = Engine(graph).query(text)
+    assert "_least" in answers._jdf.queryExecution().analyzed().toString()
+
+
+def test_no_hubs_no_degrees(spark):
+    answers = Engine(graph_of(spark, EDGES)).query(CYCLES[0])
+    assert "_least" not in answers._jdf.queryExecution().analyzed().toString()
+
+
 @pytest.mark.parametrize(("text", "holds"), [("() ← 0(x,y)", True), ("() ← 9(x,y)", False), ("() ← 0(x,y), 9(a,b)", False), ("() ← 0(x,y), 1(a,b)", True)])
 def test_boolean_queries(spark, text, holds):
     answers = Engine(graph_of(spark, EDGES)).query(text)
