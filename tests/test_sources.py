@@ -41,6 +41,9 @@ def test_parquet_graph(spark, tmp_path):
     edgefile.write_graph(Graph(edges), str(tmp_path / "g"))
     back = edgefile.read_graph(spark, str(tmp_path / "g"))
     assert back.edges.count() == 2
+    assert back.known[1][:3] == (1, 1, 1) and back.known[0][:3] == (1, 1, 1)
+    (tmp_path / "g" / "statistics").rename(tmp_path / "gone")
+    assert edgefile.read_graph(spark, str(tmp_path / "g")).known == {}
     plan = Engine(back).query("(x) ← 1(x,y)")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(label" in plan and "(label" in plan
 
