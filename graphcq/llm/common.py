@@ -77,21 +77,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     `edges` has two long columns (u, v). Returns (v, component) for every vertex with an edge to another vertex, where
     component is the smallest vertex reachable. Null ends and loops are ignored; repeated edges count once; no edges
-    give no rows. Each step is two grouped minima and two joins on vertices. A hub's edges are pre-aggregated for its
+    give no rows. Each step is two grouped minima and two joins on vertices; it ends when every vertex has one smaller
+    neighbour or only larger ones, which the first minima of a step tell. A hub's edges are pre-aggregated for its
     minimum; the minima are checkpointed before the join, so that both its sides are plain shuffles, which adaptive
-    execution splits where a hub is large. Nothing is collected but a row count and a checksum per step.
+    execution splits where a hub is large. Nothing is collected but one flag per step.
     """
     e = edges.where("u is not null and v is not null and u <> v")
     e = durable(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen: tuple | None = None
     while True:
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state[0] == 0 or state == seen:
+        both = e.select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
+        smaller = F.count_if(F.col("v") < F.col("u"))
+        open_ = (smaller > 1) | ((smaller > 0) & (F.max("v") > F.col("u")))
+        low = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), open_.alias("open")))
+        if not low.agg(F.max("open")).first()[0]:
+            forget(low)
             break
-        seen = state
-        both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = durable(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
-        large = durable(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        large = durable(e.select(F.col("u").alias("x"), F.col("v").alias("u")).join(low.select("u", "m"), "u").select(F.col("x").alias("u"), F.col("m").alias("v")))
         forget(e, low)
         low = durable(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))

@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4) -> DataF
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own_cells(batch.column(0).to_numpy())))], names=["cell"])
 
-    held = least.select("fp").mapInArrow(cells, "cell long").groupBy("cell").count().where(F.col("count") > CROWDED).orderBy("cell").collect()
+    held = sorted(least.select("fp").mapInArrow(cells, "cell long").groupBy("cell").count().where(F.col("count") > CROWDED).collect())
     parted = docs.sparkSession.sparkContext.broadcast((np.array([r[0] for r in held], np.int64), np.array([-(-r[1] // CROWDED) for r in held], np.int64)))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
