@@ -11,7 +11,6 @@ import hashlib
 import re
 import sys
 import unicodedata
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,15 +28,37 @@ WORD = re.compile(r"[^\W\d_]+")
 #: Numbers that the expression takes for letters, such as fractions and Roman ones, to blanks.
 NUMBERS = {ord(c): " " for c in map(chr, range(sys.maxunicode + 1)) if unicodedata.category(c) in ("Nl", "No")}
 BUCKETS = 1 << 15
-#: Words whose likelihoods a worker remembers at most; n-grams of a word that are made at once; languages of a model (128 KB each).
-REMEMBERED, AT_ONCE, MOST_LANGUAGES = 200_000, 50_000, 2_000
+#: Words whose likelihoods a worker remembers at most; likelihoods of n-grams that are held at once; languages of a model (128 KB each).
+REMEMBERED, AT_ONCE, MOST_LANGUAGES = 200_000, 2_000_000, 2_000
 
 
-def grams(word: str) -> Iterator[list[int]]:
-    """Hashed bigrams and trigrams of a word with its ends marked, in lists of a bounded size."""
-    s = f"^{word}$"
-    for at in range(0, len(s), AT_ONCE):
-        yield [zlib.crc32(s[i : i + n].encode()) % BUCKETS for n in (2, 3) for i in range(at, min(at + AT_ONCE, len(s) - n + 1))]
+def _mixed(h: np.ndarray) -> np.ndarray:
+    """Numbers of 64 bits to buckets."""
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((h ^ (h >> np.uint64(32))) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def grams(words: list[str], at_once: int = 250_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(word, buckets) of every character of the words with their ends marked, `at_once` characters at a time: the
+    position of its word, and the hashed bigram and trigram that start there, BUCKETS where the word has ended."""
+    chars = np.frombuffer("".join([f"^{w}$" for w in words]).encode("utf-32-le"), "<u4")
+    word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)) + 2)
+    for at in range(0, len(chars), at_once):
+        n = min(at_once, len(chars) - at)
+        c, w = (np.append(x[at : at + n + 2], fill)[: n + 2] for x, fill in ((chars, [0, 0]), (word, [-1, -1])))
+        c = c.astype(np.uint64)
+        two = c[:n] * np.uint64(0x9E3779B97F4A7C15) + c[1 : n + 1] * np.uint64(0xC2B2AE3D27D4EB4F)
+        three = two + (c[2:] + np.uint64(1)) * np.uint64(0x165667B19E3779F9)
+        yield w[:n], np.stack([np.where(w[k : n + k] == w[:n], _mixed(h), BUCKETS) for k, h in ((1, two), (2, three))])
+
+
+def likelihoods(words: list[str], log_p: np.ndarray) -> np.ndarray:
+    """Log likelihood of each word per language; `log_p` ends with a row of zeros, for what is no n-gram."""
+    out = np.zeros((len(words), log_p.shape[1]))
+    for word, buckets in grams(words, max(1, AT_ONCE // max(1, log_p.shape[1]))):
+        starts = np.flatnonzero(np.diff(word, prepend=-1))
+        out[word[starts]] += np.add.reduceat(log_p[buckets[0]] + log_p[buckets[1]], starts, axis=0, dtype=np.float64)
+    return out
 
 
 def words_of(text: str | None) -> list[str]:
@@ -71,11 +92,13 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, train, per_l
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for lang, own in f.groupby("_lang"):
-                n = np.zeros(BUCKETS, np.int64)
-                for word, times in Counter(w for t in own["_text"] for w in words_of(t)).items():
-                    for part in grams(word):
-                        np.add.at(n, part, times)
-                at = np.flatnonzero(n)
+                n = np.zeros(BUCKETS + 1, np.int64)
+                words = Counter(w for t in own["_text"] for w in words_of(t))
+                times = np.fromiter(words.values(), np.int64, len(words))
+                for word, buckets in grams(list(words)):
+                    for part in buckets:
+                        np.add.at(n, part, times[word])
+                at = np.flatnonzero(n[:BUCKETS])
                 yield pd.DataFrame({"lang": lang, "bucket": at, "n": n[at]})
 
     sums = rows.select("_text", "_lang").mapInPandas(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
@@ -144,6 +167,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs, log_p = shared.value
+        log_p = np.concatenate([log_p, np.zeros((1, len(langs)), np.float32)])
         seen: dict[str | bytes, int] = {}
         store = np.empty((1 << 12, max(1, len(langs))), np.float32)
 
@@ -152,14 +176,13 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[
             new = {w: _name(w) for w in set(words).difference(seen)}
             if len(seen) + len(new) > REMEMBERED:
                 seen, new = {}, {w: _name(w) for w in set(words)}
-            for w, name in new.items():
-                if name in seen:
-                    continue
-                at = len(seen)
-                if at == len(store):
-                    store = np.concatenate([store, np.empty_like(store)])
-                store[at] = sum(log_p[part].sum(axis=0) for part in grams(w))
-                seen[name] = at
+            fresh = {name: w for w, name in new.items() if name not in seen}
+            if fresh:
+                upto = len(seen) + len(fresh)
+                if upto > len(store):
+                    store = np.concatenate([store, np.empty((max(upto - len(store), len(store)), store.shape[1]), np.float32)])
+                store[len(seen) : upto] = likelihoods(list(fresh.values()), log_p)
+                seen.update(zip(fresh, range(len(seen), upto)))
             return store[np.fromiter((seen[w] if w in seen else seen[new[w]] for w in words), np.int64, len(words))]
 
         for batch in batches:

@@ -43,9 +43,32 @@ def test_many_languages_and_large_sets(spark):
     assert sum(r.lang_pred == f"l{r.doc_id % 70:02d}" for r in got) >= 70
 
 
-def test_long_words_are_words(spark):
-    word = "abc" * 60_000
-    assert sorted(g for part in langid.grams(word) for g in part) == sorted(zlib.crc32(f"^{word}$"[i : i + n].encode()) % langid.BUCKETS for n in (2, 3) for i in range(len(word) + 3 - n))
+def bucket(gram):
+    """The bucket of a bigram or trigram, by plain integers."""
+    h = sum((ord(c) + k // 2) * m for k, (c, m) in enumerate(zip(gram, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)))) % 2**64
+    h = (h ^ (h >> 29)) * 0xBF58476D1CE4E5B9 % 2**64
+    return (h ^ (h >> 32)) % langid.BUCKETS
+
+
+def test_long_words_are_words():
+    words = ["abc" * 60_000, "é", "日本語", "𝔘x", "abc"]
+    want = [sorted(bucket(f"^{w}$"[i : i + n]) for n in (2, 3) for i in range(len(w) + 3 - n)) for w in words]
+    for at_once in (250_000, 1000, 7):
+        got = [[] for _ in words]
+        for word, buckets in langid.grams(words, at_once):
+            assert len(word) <= at_once
+            for k in range(len(words)) if len(set(word.tolist())) > 1 else word[:1].tolist():
+                got[k] += [g for g in buckets[:, word == k].ravel().tolist() if g < langid.BUCKETS]
+        assert [sorted(g) for g in got] == want
+
+
+def test_likelihoods_are_sums_over_ngrams(monkeypatch):
+    log_p = np.append(np.log(np.random.default_rng(0).random((langid.BUCKETS, 3), np.float32)), np.zeros((1, 3), np.float32), axis=0)
+    words = ["abcd" * 50, "é", "of"]
+    want = [sum(log_p[bucket(f"^{w}$"[i : i + n])].astype(float) for n in (2, 3) for i in range(len(w) + 3 - n)) for w in words]
+    for at_once in (langid.AT_ONCE, 30, 3):
+        monkeypatch.setattr(langid, "AT_ONCE", at_once)
+        assert np.allclose(langid.likelihoods(words, log_p), want, rtol=1e-5)
 
 
 def test_held_out_accuracy(spark):
