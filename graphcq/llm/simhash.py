@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from graphcq.llm.common import connected_components, durable, giving_back, parts_for, pick
 
@@ -48,14 +49,15 @@ def fingerprint(text: str | None, width: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
-    """(doc_id, fp long): the fingerprint of every row, as a signed number."""
+    """(doc_id, fp long): the fingerprint of every row, as a signed number; doc_id keeps its type."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.fromiter((fingerprint(t.as_py(), width) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
 
-    return pick(docs, ["doc_id", "text"]).mapInArrow(giving_back(run), "doc_id long, fp long")
+    rows = pick(docs, ["doc_id", "text"])
+    return rows.mapInArrow(giving_back(run), T.StructType([rows.schema["doc_id"], T.StructField("fp", T.LongType())]))
 
 
 def segment_counts(x: np.ndarray) -> np.ndarray:
@@ -153,7 +155,7 @@ def _union(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def near_duplicates(docs: DataFrame, distance: int = 4, width: int = 4) -> DataFrame:
-    """(doc_id, fingerprint string, component_id long) for every row of docs (doc_id, text).
+    """(doc_id, fingerprint string, component_id) for every row of docs (doc_id, text); doc_id may be of any type with an order.
 
     Fingerprints at most `distance` bits apart link; component_id is the smallest doc_id that links reach. A null text
     has no words, and fingerprint zero, which links like any other. Repeated rows each give a row; a null id takes part
