@@ -1,7 +1,8 @@
 """The corpus pipeline: STAGES in order, each over all that the one before kept.
 
 Every stage is a function (spark, docs, sf_dir) -> DataFrame. All but the last return the columns of their documents.
-Rows of a null doc_id pass the near-duplicate and decontamination stages, as their decisions are carried by id.
+Every row is a document: decisions are carried by doc_id and a hash of the text, so rows without an id, and different texts
+of one id, are judged like others. Rows that repeat both are one document, of which near-duplicates keep one row.
 """
 
 from __future__ import annotations
@@ -13,14 +14,20 @@ from graphcq.llm import decontaminate, langid, linededup, packing, simhash
 from graphcq.llm.common import durable, is_small, table
 from graphcq.llm.queries import tokenizer_path
 
-#: A document whose largest language has a smaller share than this has no language; ids that may be broadcast at most.
-MIN_SHARE, BROADCAST_IDS = 0.4, 200_000
+#: A document whose largest language has a smaller share than this has no language; keys that may be broadcast at most.
+MIN_SHARE, BROADCAST_KEYS = 0.4, 200_000
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """docs but those whose doc_id is among `ids`."""
-    ids = durable(ids.where("doc_id is not null").distinct())
-    return docs.join(F.broadcast(ids) if is_small(ids, BROADCAST_IDS) else ids, "doc_id", "left_anti").select(docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, row): doc_id is a key without nulls, of ids before none; row has all columns."""
+    key = F.struct(docs["doc_id"].isNull().alias("none"), F.coalesce(docs["doc_id"], F.lit(0)).alias("id"), F.xxhash64(docs["text"]).alias("text"))
+    return docs.select(key.alias("doc_id"), docs["text"].alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+
+
+def _without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """keyed but those whose key is among `keys`."""
+    keys = durable(keys.distinct())
+    return keyed.join(F.broadcast(keys) if is_small(keys, BROADCAST_KEYS) else keys, "doc_id", "left_anti")
 
 
 def identify_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,19 +48,22 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of the smallest id of each group; of rows that repeat an id, one."""
-    groups = durable(simhash.near_duplicates(docs).where("doc_id is not null"))
-    kept = _without(docs, groups.where("doc_id <> component_id").select("doc_id"))
-    repeated = groups.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
-    return _without(kept, repeated).unionByName(again)
+    """Keep the document of the smallest id of each group, one without an id only where no other has one."""
+    keyed = _keyed(docs)
+    groups = durable(simhash.near_duplicates(keyed))
+    kept = _without(keyed, groups.where("doc_id <> component_id").select("doc_id"))
+    repeated = durable(groups.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if not repeated.isEmpty():
+        # However many copies a row has, one of them is picked before the shuffle.
+        again = kept.join(F.broadcast(repeated) if is_small(repeated, BROADCAST_KEYS) else repeated, "doc_id", "left_semi")
+        kept = _without(kept, repeated).select("row").unionByName(again.groupBy("doc_id").agg(F.first("row").alias("row")).select("row"))
+    return kept.select("row.*")
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that contain a benchmark item."""
-    return _without(docs, decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id"))
+    keyed = _keyed(docs)
+    return _without(keyed, decontaminate.contaminated(keyed, table(spark, sf_dir, "benchmark")).select("doc_id")).select("row.*")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
