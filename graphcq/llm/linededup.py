@@ -31,12 +31,13 @@ def _key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.crc32(F.encode(line, "UTF-8")).alias("b"), F.char_length(line).alias("n"))
 
 
-def lines_of(docs: DataFrame, min_words: int) -> DataFrame:
-    """(row, site, doc_id, pos, key) per line of at least `min_words` words; row tells repeated ids apart by their text."""
+def lines_of(docs: DataFrame, min_words: int, min_chars: int) -> DataFrame:
+    """(doc_id, site, sum, pos, key) per line of at least `min_words` words or `min_chars` characters; sum, of the text,
+    tells repeated ids apart."""
     lines = docs.select("doc_id", F.col("source").alias("site"), F.xxhash64("text").alias("sum"), F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
     bare = F.trim("line")
     spaces = F.char_length(bare) - F.char_length(F.replace(bare, F.lit(" "), F.lit("")))
-    return lines.where(spaces >= min_words - 1).select("doc_id", "site", "sum", "pos", _key(F.col("line")).alias("key"))
+    return lines.where((spaces >= min_words - 1) | (F.char_length(bare) >= min_chars)).select("doc_id", "site", "sum", "pos", _key(F.col("line")).alias("key"))
 
 
 def _only(lines: DataFrame, keys: DataFrame) -> DataFrame:
@@ -103,19 +104,21 @@ def _cleaned_by_join(docs: DataFrame, lines: DataFrame, bad: DataFrame) -> DataF
     return cleaned.withColumn("n_removed", F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone"))).drop("_gone_id", "_gone_sum", "_gone")
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = 10, min_words: int = 5, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_sites: int = 10, min_words: int = 5, min_chars: int = 16, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """docs (doc_id, text, source) with cleaned `text`, n_lines int and n_removed int; other columns are kept, but
     for any of the two new names.
 
     A line, exactly as written between line feeds, is boilerplate if it has at least `min_words` words (spaces within it,
-    and one) and stands on at least `min_sites` distinct sources (a null source is one of its own). It stays where the
+    and one) or `min_chars` characters (without spaces around it; so short notices and scripts without spaces count), and
+    stands on at least `min_sites` distinct sources (a null source is one of its own). Shorter lines, such as a word that
+    many sites have by chance, are never boilerplate. It stays where the
     smallest (doc_id, checksum of the text, position) has it (null ids first), and goes elsewhere, again in the same
     document too. A null text stays null with 0 lines; an empty text has one empty line; a document of nothing but
     boilerplate becomes empty but stays. Of repeated rows (same id and text) each is cleaned in the same way. No
     documents give no rows. Over `broadcast_rows` boilerplate lines, joins do what a broadcast of their keys does below.
     """
     docs = docs.drop("n_lines", "n_removed")
-    lines = lines_of(pick(docs, ["doc_id", "text", "source"]), min_words)
+    lines = lines_of(pick(docs, ["doc_id", "text", "source"]), min_words, min_chars)
     bad = boilerplate(lines, min_sites)
     if is_small(bad, broadcast_rows):
         return _cleaned_by_set(docs, bad)
@@ -128,7 +131,7 @@ WITH l AS (
   FROM documents WHERE text IS NOT NULL),
 f AS (
   SELECT line, min(struct_pack(d := doc_id, p := pos)) AS first FROM l
-  WHERE length(trim(line, ' ')) - length(replace(trim(line, ' '), ' ', '')) >= 4 GROUP BY line HAVING count(DISTINCT site) >= 10),
+  WHERE length(trim(line, ' ')) - length(replace(trim(line, ' '), ' ', '')) >= 4 OR length(trim(line, ' ')) >= 16 GROUP BY line HAVING count(DISTINCT site) >= 10),
 m AS (SELECT l.*, f.line IS NOT NULL AND struct_pack(d := doc_id, p := pos) <> f.first AS gone FROM l LEFT JOIN f USING (line)),
 c AS (
   SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed,

@@ -7,12 +7,12 @@ from graphcq.llm import linededup
 from tests.llm.helpers import docs, hard_rows, no_docs, prose
 
 
-def brute(rows, sites, words=5):
+def brute(rows, sites, words=5, chars=16):
     """Texts after dedup; rows are (doc_id, text, lang, source) with texts unique per id."""
     where, first = defaultdict(set), {}
     for doc_id, text, _, source in rows:
         for pos, line in enumerate(text.split("\n") if text is not None else []):
-            if line.strip(" ").count(" ") >= words - 1:
+            if line.strip(" ").count(" ") >= words - 1 or len(line.strip(" ")) >= chars:
                 where[line].add(source or "")
                 place = (doc_id is not None, doc_id or 0, pos)
                 first[line] = min(first.get(line, place), place)
@@ -26,7 +26,7 @@ def brute(rows, sites, words=5):
 
 def corpus(seed=1, sites=14):
     rng = random.Random(seed)
-    shared = [prose(rng, 8) for _ in range(6)] + ["one two three four five", "too few words"]
+    shared = [prose(rng, 8) for _ in range(6)] + ["one two three four five", "a b c d e", "too few words", "All rights reserved.", "版权所有未经许可不得转载本站内容谢谢"]
     rows = []
     for i in range(120):
         lines = [prose(rng, rng.randrange(1, 12)) for _ in range(rng.randrange(1, 5))]
@@ -49,7 +49,7 @@ def test_sketches_decide_as_exact_counts_do(spark):
     rng = random.Random(2)
     lines = [prose(rng, 7) for _ in range(12)]
     rows = [(s, "\n".join(x for k, x in enumerate(lines) if s < 40 * (k + 1)), None, f"site{s}") for s in range(480)]
-    got = linededup.boilerplate(linededup.lines_of(docs(spark, rows).select("doc_id", "text", "source"), 5), 200)
+    got = linededup.boilerplate(linededup.lines_of(docs(spark, rows).select("doc_id", "text", "source"), 5, 16), 200)
     assert got.count() == sum(40 * (k + 1) >= 200 for k in range(12))
 
 
@@ -68,5 +68,12 @@ def test_repeated_rows_are_cleaned_alike(spark):
     assert got == [(1, line), (1, line), (2, ""), (2, "more")]
 
 
+def test_short_notices_and_scripts_without_spaces(spark):
+    lines = ["All rights reserved.", "版权所有未经许可不得转载本站内容谢谢", " " * 20, "Yes.", "  fifteen chars.  "]
+    rows = [(s, f"text of site {s}\n" + "\n".join(lines), None, f"s{s}") for s in range(3)]
+    got = sorted((r.doc_id, r.text) for r in linededup.dedup_lines(docs(spark, rows), min_sites=3).collect())
+    assert got == [rows[0][:2]] + [(s, f"text of site {s}\n" + "\n".join(lines[2:])) for s in (1, 2)]
+
+
 def test_no_documents(spark):
     assert linededup.dedup_lines(no_docs(spark)).count() == 0
