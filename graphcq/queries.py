@@ -115,8 +115,8 @@ def _by(name: str, strategy: Strategy, seed: int = 0) -> Query:
 
 
 def isolated_variable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A free variable in no atom ranges over all vertices, here those of the nation-region edges."""
-    return Engine(Graph(heterogeneous(spark, sf_dir).edges.where("label = 1"))).query("(y,x) ← 1(y,z)")
+    """A free variable in no atom ranges over all vertices: the nations with every vertex of the whole graph."""
+    return Engine(GRAPHS["g1"](spark, sf_dir)).query("(y,x) ← 1(y,z)")
 
 
 def count_path2(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,7 +262,7 @@ SQL: dict[str, str] = {
     "random_cover": _CQ_SQL["path2"],
     "random_cover_triangle": _CQ_SQL["triangle"],
     "first_cover_cycle4": _CQ_SQL["cycle4"],
-    "isolated_variable": f"{_G1}, e AS (SELECT * FROM g WHERE label = 1) SELECT DISTINCT e.src AS y, v.v AS x FROM e, (SELECT src AS v FROM e UNION SELECT trg FROM e) v",
+    "isolated_variable": f"{_G1} SELECT DISTINCT e.src AS y, v.v AS x FROM (SELECT DISTINCT src FROM g WHERE label = 1) e, (SELECT src AS v FROM g UNION SELECT trg FROM g) v",
     "count_path2": f"SELECT count(*) AS answers FROM ({_CQ_SQL['path2']})",
     "top5_path2": f"SELECT * FROM ({_CQ_SQL['path2']}) ORDER BY x, y LIMIT 5",
     "components_path2": _values(
