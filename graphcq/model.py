@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -29,11 +30,22 @@ class LabelStats(NamedTuple):
     target_fan: float
 
 
+def _cells(sketch: bytes) -> tuple[int, ...]:
+    """The cells of a count-min sketch of one row."""
+    _, _, depth, width = struct.unpack_from(">iqii", sketch)
+    return struct.unpack_from(f">{width}q", sketch, 20 + 8 * depth)
+
+
+def _products(a: tuple[int, ...], b: tuple[int, ...]) -> float:
+    """Sum over values of one degree times the other: the products of cells less what chance puts together."""
+    width = len(a)
+    return (sum(x * y for x, y in zip(a, b, strict=True)) - sum(a) * sum(b) / width) / (1 - 1 / width)
+
+
 def _fan(sketch: bytes) -> float:
-    """Squared degrees over degrees, of a count-min sketch of one row: the squares of its cells less what chance puts together."""
-    _, total, depth, width = struct.unpack_from(">iqii", sketch)
-    cells = struct.unpack_from(f">{width}q", sketch, 20 + 8 * depth)
-    return max(1.0, (sum(c * c for c in cells) - total * total / width) / (1 - 1 / width) / total)
+    """Squared degrees over degrees."""
+    cells = _cells(sketch)
+    return max(1.0, _products(cells, cells) / sum(cells))
 
 
 @dataclass(frozen=True)
@@ -48,6 +60,7 @@ class Graph:
     distinct: bool = False
     vertex_table: DataFrame | None = field(default=None, compare=False)
     known: dict[int, LabelStats] = field(default_factory=dict, compare=False, repr=False)
+    degrees: dict[tuple[int, str], tuple[int, ...]] = field(default_factory=dict, compare=False, repr=False)
 
     @classmethod
     def of(cls, edges: DataFrame, vertices: DataFrame | None = None) -> Graph:
@@ -79,6 +92,18 @@ class Graph:
             self.known.update({r[0]: LabelStats(*r[1:4], _fan(r[4]), _fan(r[5])) for r in found})
         return self.known
 
+    def join_size(self, a: tuple[int, str], b: tuple[int, str]) -> tuple[float, int]:
+        """About how many rows a join of two labels makes on an end of each, src or trg, and how many edges go into it; one
+        pass over the ends not known yet, a sketch of each comes to the driver."""
+        missing = sorted({a, b} - set(self.degrees))
+        if missing:
+            ends = [self.labelled(label).select(F.lit(i).alias("of"), F.xxhash64(end).alias("v")) for i, (label, end) in enumerate(missing)]
+            found = reduce(DataFrame.union, ends).groupBy("of").agg(F.count_min_sketch("v", **{k: F.lit(x) for k, x in _CELLS.items()})).collect()
+            self.degrees.update(dict.fromkeys(missing, ()))
+            self.degrees.update({missing[r[0]]: _cells(r[1]) for r in found})
+        one, other = self.degrees[a], self.degrees[b]
+        return _products(one, other) if one and other else 0.0, sum(one) + sum(other)
+
     def as_set(self) -> Graph:
         """The same graph with each edge once."""
         return self if self.distinct else Graph(self.edges.distinct(), True, self.vertex_table, self.known)

@@ -9,6 +9,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Rows of one value of a join's variable that meet as one block, on either side.
+BLOCK = 1024
+
 
 @dataclass(frozen=True)
 class Estimate:
@@ -102,3 +105,48 @@ class Relation:
             rows = rows.join(tagged, ["_of", "_end", v], "left_semi") if turn else rows.join(tagged, ["_of", "_end"])
         distinct = self.distinct and all(o.distinct for o in others)
         return Relation((*self.variables, v), rows.select(*self.variables, v), distinct)
+
+    def meet(self, other: Relation, v: str) -> Relation:
+        """Pairs of the ends of two relations that have a value of `v` in common, each pair once.
+
+        An end with one value of `v` meets the ends of that value and no others, so its pairs cannot repeat: they are
+        joined as they are. Only pairs of two ends that both have several values are made more than once and
+        deduplicated. An end is on one side of that split, so the three joins have no pair in common.
+        """
+        (a,), (b,) = ([u for u in r.variables if u != v] for r in (self, other))
+        hubs = [_hubs(self.rows, v, "_n"), _hubs(other.rows, v, "_m")]
+        one, several = _by_values(self.rows, a, v)
+        single, many = _by_values(other.rows, b, v)
+        rows = [
+            _in_blocks(one, other.deduped().rows, a, b, v, hubs),
+            _in_blocks(several, single, a, b, v, hubs),
+            _in_blocks(several, many, a, b, v, hubs).distinct(),
+        ]
+        return Relation((a, b), reduce(DataFrame.union, rows), True)
+
+
+def _by_values(rows: DataFrame, u: str, v: str) -> tuple[DataFrame, DataFrame]:
+    """Distinct rows (u, v): those of a `u` with one value of `v`, and the others."""
+    ends = rows.groupBy(u).agg(F.min(v).alias("_low"), F.max(v).alias("_high"))
+    one = ends.where("_low = _high").select(u, F.col("_low").alias(v))
+    return one, rows.join(ends.where("_low < _high").select(u), u, "left_semi").select(u, v).distinct()
+
+
+def _hubs(rows: DataFrame, v: str, n: str) -> DataFrame:
+    """The values of `v` in more rows than a block has, with their number; at most one for each BLOCK rows."""
+    return rows.groupBy(v).agg(F.count("*").alias(n)).where(F.col(n) > BLOCK)
+
+
+def _in_blocks(left: DataFrame, right: DataFrame, a: str, b: str, v: str, hubs: list[DataFrame]) -> DataFrame:
+    """(a, b) of the join on `v`, where a hub's rows are dealt to blocks and each block of one side meets each of the other.
+
+    So tasks share a hub's pairs. A row is copied once for each block that it meets: at most one copy for each BLOCK pairs
+    besides the rows themselves.
+    """
+    def dealt(rows: DataFrame, u: str, own: str, met: str, block: str, partner: str) -> DataFrame:
+        for h in hubs:
+            rows = rows.join(F.broadcast(h), v, "left")
+        blocks = [F.ceil(F.coalesce(F.col(n), F.lit(1)) / BLOCK).cast("int") for n in (own, met)]
+        return rows.select(u, v, F.pmod(F.xxhash64(u), blocks[0]).cast("int").alias(block), F.explode(F.sequence(F.lit(0), blocks[1] - 1)).alias(partner))
+
+    return dealt(left, a, "_n", "_m", "_i", "_j").join(dealt(right, b, "_m", "_n", "_j", "_i"), [v, "_i", "_j"]).select(a, b)

@@ -9,7 +9,9 @@ One relation per atom or component; then, in this order:
    variable is dead, it is projected away and the rows deduplicated. Where a step closes a cycle, so that two relations
    or more would add the same variable, and the edges there hang on hubs, the step joins them all at once, each row by
    the relation that has least for it (`Relation.extend`): worst-case optimal per step. Elsewhere pairs are cheaper;
-3. unconnected parts are deduplicated on their free variables before their product is taken, and parts without free
+3. two labels that meet in a variable that is not free, and make far more rows than they have edges, are joined so that
+   only pairs which may repeat are deduplicated (`Relation.meet`), not all that the join makes;
+4. unconnected parts are deduplicated on their free variables before their product is taken, and parts without free
    variables are cut to one row.
 
 Catalyst and adaptive execution choose the join algorithms, broadcast sides and partition counts from there.
@@ -34,6 +36,9 @@ from graphcq.syntax.cq import CQ
 #: A cycle is closed by all its relations at once if an edge's end has more edges than this, on average over edges.
 HUB_FAN = 64.0
 
+#: Two labels meet by `Relation.meet` if a join would make more rows than this, and more than this many per edge.
+MEET_ROWS, MEET_FAN = 1e7, 8.0
+
 
 def _reduced(relations: list[Relation], head: tuple[str, ...]) -> list[Relation]:
     """Turn relations that only filter into semi-joins, until none is left to turn."""
@@ -103,6 +108,18 @@ def _fan_of(relation: Relation, out: Relation, stats: Mapping[int, LabelStats])
     return n.source_fan if relation.variables[0] in out.variables else n.target_fan
 
 
+def _meeting(relations: list[Relation], head: tuple[str, ...], graph: Graph) -> str | None:
+    """The variable that the edges of two labels meet in, if it is not free and a join on it would make many rows."""
+    if len(relations) != 2 or not all(isinstance(r.label, int) and len(r.variables) == 2 for r in relations):
+        return None
+    shared = set(relations[0].variables) & set(relations[1].variables)
+    if len(shared) != 1 or shared & set(head):
+        return None
+    (v,) = shared
+    rows, edges = graph.join_size(*((r.label, "src" if r.variables[0] == v else "trg") for r in relations))
+    return v if rows > max(MEET_ROWS, MEET_FAN * edges) else None
+
+
 def _joined(relations: list[Relation], head: tuple[str, ...], stats: Mapping[int, LabelStats]) -> Relation:
     """Join one connected group, down to its free variables."""
     pending = [relations[i] for i in _order(relations, head, stats)]
@@ -127,11 +144,12 @@ def _joined(relations: list[Relation], head: tuple[str, ...], stats: Mapping[int
 def answer(relations: list[Relation], head: tuple[str, ...], graph: Graph) -> DataFrame:
     """Distinct rows over the free variables, in head order; for none, one row with `satisfied`.
 
-    Statistics are asked for only where there is an order to choose: three relations that hang together, or more.
+    Statistics are asked for only where there is an order to choose: three relations that hang together, or more. Of two
+    labels that meet in a variable that is not free, the size of their join is.
     """
     groups = _parts(_reduced(relations, head))
     stats = graph.statistics(r.label for g in groups if len(g) > 2 for r in g)
-    parts = [_joined(g, head, stats) for g in groups]
+    parts = [g[0].meet(g[1], v) if (v := _meeting(g, head, graph)) else _joined(g, head, stats) for g in groups]
     filters = [p for p in parts if not set(p.variables) & set(head)]
     rest = [p.project(head) for p in parts if set(p.variables) & set(head)]
     some = [p.rows.select(F.lit(1).alias(f"_sat{i}")).limit(1) for i, p in enumerate(filters)]

@@ -1,5 +1,6 @@
 import itertools
 import random
+import re
 
 import pytest
 
@@ -101,6 +102,49 @@ def test_no_hubs_no_degrees(spark):
     assert "_least" not in answers._jdf.queryExecution().analyzed().toString()
 
 
+def _stages(answers):
+    """The plan that adaptive execution ended with."""
+    answers.collect()
+    return answers._jdf.queryExecution().executedPlan().executedPlan().toString()
+
+
+MEETINGS = ["(x,y) ← 0(x,z), 0(z,y)", "(x,y) ← 0(x,z), 1(y,z)", "(y,x) ← 0(z,x), 2(z,y)", "(x,y) ← 1(x,z), 1(y,z)", "(x,y) ← 0(x,z), 1(y,z), 2(z,w)", "(x,y,a) ← 0(x,z), 1(y,z), 2(a,b)", "(x,y) ← 0(x,z), 9(y,z)"]
+
+
+@pytest.mark.parametrize("text", MEETINGS)
+@pytest.mark.parametrize(("distinct", "several"), [(False, 4), (True, 1)])
+def test_labels_that_meet_through_hubs(spark, text, distinct, several, monkeypatch):
+    """Ends with one value of the middle variable and ends with several, in blocks of two rows."""
+    monkeypatch.setattr("graphcq.plans.planner.MEET_ROWS", -1.0)
+    monkeypatch.setattr("graphcq.plans.planner.MEET_FAN", -1.0)
+    monkeypatch.setattr("graphcq.operators.relation.BLOCK", 2)
+    r = random.Random(several)
+    edges = sorted({(v, label, r.randrange(3)) for v in range(8) for label in range(3) for _ in range(r.choice([1, several]))})
+    vertices = sorted({v for s, _, t in edges for v in (s, t)})
+    cq, graph = parse_cq(text), graph_of(spark, edges)
+    answers = Engine(graph.as_set() if distinct else graph).query(cq)
+    assert "_low" in answers._jdf.queryExecution().analyzed().toString()
+    assert rows(answers) == brute(cq, set(edges), vertices)
+
+
+def test_pairs_that_cannot_repeat_are_not_deduplicated(spark, monkeypatch):
+    """Every end has one middle, and the middles are hubs: 6000 edges make 200 000 pairs, all different."""
+    monkeypatch.setattr("graphcq.plans.planner.MEET_ROWS", 1e5)
+    edges = spark.range(6000).selectExpr("id + 100 AS src", "IF(id < 5000, 0, 1) AS label", "id % 25 AS trg")
+    answers = Engine(Graph.of(edges)).query("(c,s) ← 0(c,n), 1(s,n)")
+    assert not re.search(r"Aggregate\(keys=\[c#\w+, s#\w+\]", _stages(answers))
+    assert answers.count() == answers.distinct().count() == 5000 * 1000 // 25
+
+
+def test_join_size(spark):
+    edges = spark.range(3000).selectExpr("id AS src", "IF(id < 2000, 0, 1) AS label", "id % 10 + 5000 AS trg")
+    graph = Graph.of(edges)
+    size, into = graph.join_size((0, "trg"), (1, "trg"))
+    assert into == 3000 and size == pytest.approx(10 * 200 * 100, rel=0.1)
+    assert graph.join_size((0, "src"), (1, "src"))[0] < 5000
+    assert graph.join_size((0, "trg"), (7, "trg")) == (0.0, 2000)
+
+
 @pytest.mark.parametrize(("text", "holds"), [("() ← 0(x,y)", True), ("() ← 9(x,y)", False), ("() ← 0(x,y), 9(a,b)", False), ("() ← 0(x,y), 1(a,b)", True)])
 def test_boolean_queries(spark, text, holds):
     answers = Engine(graph_of(spark, EDGES)).query(text)
